@@ -24,6 +24,8 @@ from .common import fold_rows, table
 
 #: Labelled rows that the fit uses at most: those of the smallest hashes of their ids.
 FIT_ROWS = 5000
+#: Standard errors by which a feature's share must differ between the labels.
+SCREEN = 3.0
 #: Hashed features, letters of the word beginnings, gradient steps, shrinkage, weight of the counterfactual term.
 FEATURES, BEGINNINGS, STEPS, SHRINK, FAIRNESS = 1 << 18, (3, 4, 5), 300, 2e-4, 1.0
 #: A score from which a text counts as toxic.
@@ -134,9 +136,13 @@ def fit(rows: list[tuple[str | None, int]], shrink: float = SHRINK, fairness: fl
             yield features(list(b.items()))
 
     r, c, v = sparse(each())
-    # features met in fewer than three rows can't be told from chance
-    often = np.bincount(c, minlength=FEATURES) >= 3
-    keep = often[c]
+    # only features whose share differs between the labels by more than chance are fitted
+    total = np.bincount(c, minlength=FEATURES)
+    toxic = np.bincount(c, labels[r], FEATURES)
+    ones, zeros = labels.sum(), len(labels) - labels.sum()
+    share = np.clip(total / len(labels), 1e-9, 1 - 1e-9)
+    z = (toxic / ones - (total - toxic) / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
+    keep = ((np.abs(z) > SCREEN) & (total >= 3))[c]
     r, c, v = r[keep], c[keep], v[keep]
     used = np.unique(c)
     memo.clear()
