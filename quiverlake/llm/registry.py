@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that hold QUERIES and ORACLE.
-MODULES = ["url_rules", "bpe_text", "gif_media", "toxicity", "page_text", "simhash"]
+MODULES = ["url_rules", "bpe_text", "gif_media", "toxicity", "page_text", "simhash", "token_files"]
 
 
 def _gather(what: str) -> dict:
