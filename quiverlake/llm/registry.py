@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that hold QUERIES and ORACLE.
-MODULES = ["url_rules", "bpe_text", "gif_media", "toxicity", "page_text", "simhash", "token_files", "decontaminate", "repeats"]
+MODULES = ["simhash", "repeats", "decontaminate", "bpe_text", "page_text", "ngram_lm", "token_files", "toxicity", "url_rules", "gif_media"]
 
 
 def _gather(what: str) -> dict:
