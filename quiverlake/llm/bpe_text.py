@@ -19,11 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import fold_rows, table
 
-#: The splitter of such vocabularies on pieces of visible ASCII, where it needs no tables of other scripts. Fixed value.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-VISIBLE = re.compile(r"[!-~]+")
+#: The splitter of such vocabularies on pieces of visible ASCII and the letters of Latin-1, which its normaliser only lower-cases. Fixed value.
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte: itself where it is visible in Latin-1, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = (256 + k for k in range(256))
+    return {b: chr(b) if b in seen else chr(next(other)) for b in range(256)}
+
+
+#: From a character of such a piece to the signs of its bytes.
+SIGNS = {c: "".join(byte_signs()[b] for b in chr(c).encode()) for c in range(128, 256)}
 #: Pieces whose encoding a worker keeps; beyond it the older half is dropped. A matter of memory, never of results.
-KEEP = 200_000
+KEEP = 600_000
 
 
 class BpeCodec:
@@ -99,8 +110,10 @@ class BpeCodec:
         """(ids, their decimals, their strings) of a piece without spaces; the last two end in a space."""
         got = self._old.get(piece)
         if got is None:
-            if self._plain and VISIBLE.fullmatch(piece):
-                words = ASCII_WORDS.findall(piece.lower())
+            if self._plain and PLAIN.fullmatch(piece):
+                words = PLAIN_WORDS.findall(piece.lower())
+                if not piece.isascii():
+                    words = [w.translate(SIGNS) for w in words]
             else:
                 words = [w for w, _ in self._split(self._clean(piece))]
             ids = [i for w in words for i in self.word(w)]
