@@ -91,7 +91,7 @@ def joined(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables) if tables else to_arrow_schema(MESSAGE).empty_table()
 
 
-def probe_messages(buckets: int, least: int):
+def probe_messages(buckets: int, least: int, tag: str):
     """Chunk -> for each bucket the distinct block hashes (32 bits below the bucket's), and for each two flags: begins an indexed block; occurs twice here."""
     bits = np.uint64(buckets.bit_length() - 1)
 
@@ -106,7 +106,7 @@ def probe_messages(buckets: int, least: int):
         flags = np.maximum.reduceat(anchor.astype(np.uint8), first) if len(first) else np.empty(0, np.uint8)
         flags = flags | (np.diff(np.concatenate([first, [len(h)]])) > 1).astype(np.uint8) << 1 if len(first) else flags
         h = h[first]
-        return messages((h >> np.uint64(32)).astype(np.int64), [h.astype(np.uint32), flags], left.column("__chunk")[0].as_py(), buckets)
+        return messages((h >> np.uint64(32)).astype(np.int64), [h.astype(np.uint32), flags], left.column(tag)[0].as_py(), buckets)
 
     return run
 
@@ -134,7 +134,7 @@ def probe_hits(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), to_arrow_schema(MESSAGE))], schema=to_arrow_schema(MESSAGE)) if out else to_arrow_schema(MESSAGE).empty_table()
 
 
-def window_messages(buckets: int, least: int):
+def window_messages(buckets: int, least: int, tag: str):
     """Chunk and its hits -> for each bucket the distinct full windows about hits, as two hashes and the smallest document."""
     bits = np.uint64(buckets.bit_length() - 1)
 
@@ -156,7 +156,7 @@ def window_messages(buckets: int, least: int):
         first = np.ones(len(a), bool)
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         a, b, doc = a[first], b[first], doc[first]
-        return messages((a >> (np.uint64(64) - bits)).astype(np.int64), [a, b, doc], left.column("__chunk")[0].as_py(), buckets)
+        return messages((a >> (np.uint64(64) - bits)).astype(np.int64), [a, b, doc], left.column(tag)[0].as_py(), buckets)
 
     return run
 
@@ -250,11 +250,14 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, columns: list[str] | Non
     chars = size["c"] or 0
     chunks = max(FEWEST, power_of_two(chars / CHUNK_CHARS))
     buckets = max(FEWEST, power_of_two(chars / 6 / BUCKET_HASHES))
-    dealt = docs.select("*", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("__chunk"))
-    by_chunk = lambda: dealt.groupBy("__chunk")
-    probes = by_chunk().applyInArrow(probe_messages(buckets, least), MESSAGE)
+    tag = "__chunk"
+    while tag in docs.columns:
+        tag += "_"
+    dealt = docs.select("*", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias(tag))
+    by_chunk = lambda: dealt.groupBy(tag)
+    probes = by_chunk().applyInArrow(probe_messages(buckets, least, tag), MESSAGE)
     hits = probes.groupBy("bucket").applyInArrow(probe_hits, MESSAGE)
-    windows = by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(window_messages(buckets, least), MESSAGE)
+    windows = by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(window_messages(buckets, least, tag), MESSAGE)
     owners = windows.groupBy("bucket").applyInArrow(window_owners, MESSAGE)
     through = docs.columns if columns is None else columns
     taken = set(through)
@@ -280,4 +283,16 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_repeats": op2_repeats}
-ORACLE: dict = {}
+ORACLE = {
+    "op2_repeats": r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+    o AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s),
+    c AS (SELECT DISTINCT doc_id, i + k AS i FROM w JOIN o USING (s), range(13) t(k) WHERE owner < doc_id),
+    x AS (SELECT d.doc_id, i, w FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d) d),
+    k AS (SELECT x.doc_id, string_agg(w, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id),
+    n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+    """
+}
