@@ -106,7 +106,10 @@ def ann_sql(catalog, text: str) -> DataFrame:
 
         fn, kw = m[1].lower(), {n: value(v) for n, v in named.items()}
         if fn == "ann_search_table":
-            rows = re.sub(r"^\(?\s*(?:TABLE\s*)?\(?\s*(?=select|values|with)", "", places[0].strip(), flags=re.I).rstrip(") ") if re.match(r"[\s(]", places[0]) else f"SELECT * FROM {places[0]}"
+            rows = re.sub(r"^TABLE\b", "", places[0], flags=re.I).strip()
+            while rows.startswith("(") and rows.endswith(")"):
+                rows = rows[1:-1].strip()
+            rows = f"SELECT * FROM {rows}" if re.fullmatch(r"[\w.]+", rows) else rows
             args = [value(a) for a in places[1:]]
             out = catalog.load_index(args[0], args[1], spark.table(args[0])).search_table(spark.sql(rows), args[2], **kw)
         else:

@@ -149,7 +149,7 @@ def test_cells_codes_and_factory(spark):
     lo, scale = quantize.params_arrays(quantize.sq8_params(df))
     assert (lo, scale) == ([0.0, 5.0], [1.0, 1.0])
     assert [r[0] for r in df.select(quantize.encode(F.col("embedding"), lo, scale)).collect()] == [[0, 0], [255, 0], [128, 0]]
-    assert [r[0] for r in ivf.stride_sample(frame(spark, IVF10), 3).select("id").orderBy("id").collect()] == [1, 4, 7]
+    assert [r[0] for r in ivf.stride_sample(frame(spark, IVF10), 3, id_col="id").select("id").orderBy("id").collect()] == [1, 4, 7]
 
 
 def test_distances_of_invalid_vectors(spark):
