@@ -72,7 +72,7 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     met = nodes.select("node", "fp", F.explode(masks).alias("mask")).select("node", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))
     first = F.min(F.struct("node", "fp")).over(Window.partitionBy("value"))
     pairs = met.withColumn("first", first).where("node <> first.node")
-    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= bits).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
+    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= bits).select(F.col("node").alias("a"), F.col("first.node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFrame:
