@@ -22,13 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import table, written
+from .common import pack, table, unpack, written
 
 #: Characters of a chunk, and of text for a bucket, about; fewest chunks and buckets; buckets that share a context.
 CHUNK_CHARS, BUCKET_CHARS, FEWEST, SPREAD = 4_000_000, 4_000_000, 256, 16
@@ -43,23 +42,6 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as one string; bytes of equal weight stand together, so sorted numbers shrink."""
-    raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    n = len(raw) // sum(sizes)
-    out, at = [], 0
-    for k, s in zip(kinds, sizes):
-        out.append(np.ascontiguousarray(raw[at : at + n * s].reshape(s, n).T).reshape(-1).view(k) if n else np.empty(0, k))
-        at += n * s
-    return out
-
-
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary. `select` finds values, `seek` searches them, both for whole arrays of questions."""
 

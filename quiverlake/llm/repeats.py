@@ -4,7 +4,7 @@ Fixed-block anchors: the non-overlapping blocks of every document (a bit over
 half the least repeat's length, so that each repeat holds a whole one) are
 indexed, and every rolling window of that size probes the index. Only
 stretches around hits are looked at again: there the windows of full length
-are compared by 128-bit hashes, and adjoining ones make up the maximal repeats.
+are compared by 96-bit hashes, and adjoining ones make up the maximal repeats.
 
 Documents are dealt once to chunks. What chunks and buckets of hashes tell
 each other goes in packed, sorted, distinct hashes, not in rows, so a passage
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import pack, table, unpack
 
 #: Words of the least repeat that is removed.
 LEAST = 13
@@ -72,17 +72,28 @@ class Chunk:
         return h, self.left[: len(h)] >= self.block
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both hashes of all windows of full size, and which of them lie within one document."""
-        a, b = rolling(self.hashes, self.least, FACTORS[1]), rolling(self.hashes, self.least, FACTORS[2])
+        """Both hashes (64 and 32 bits) of all windows of full size, and which of them lie within one document."""
+        a, b = rolling(self.hashes, self.least, FACTORS[1]), rolling(self.hashes, self.least, FACTORS[2]) & np.uint64(0xFFFFFFFF)
         return a, b, self.left[: len(a)] >= self.least
 
 
+def steps(values: np.ndarray) -> np.ndarray:
+    """The first of sorted numbers, then the differences: small numbers pack well."""
+    return np.concatenate([values[:1], np.diff(values)])
+
+
+def opened(body: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays of a message."""
+    first, *rest = unpack(body, *kinds)
+    return [np.cumsum(first, dtype=first.dtype), *rest]
+
+
 def messages(bucket: np.ndarray, bodies: list[np.ndarray], chunk: int, buckets: int) -> pa.Table:
-    """One message for each bucket that has entries; entries must be sorted by bucket. A body is the arrays' parts in turn."""
+    """One message for each bucket that has entries; entries must be sorted by bucket. A body is the arrays' parts in turn, the first, which is sorted, as steps."""
     at = np.searchsorted(bucket, np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(at))
     return pa.table(
-        {"bucket": pa.array(some, pa.int32()), "chunk": pa.array(np.full(len(some), chunk), pa.int32()), "body": pa.array([b"".join(x[at[k] : at[k + 1]].tobytes() for x in bodies) for k in some.tolist()], pa.binary())},
+        {"bucket": pa.array(some, pa.int32()), "chunk": pa.array(np.full(len(some), chunk), pa.int32()), "body": pa.array([pack(*(steps(x[at[k] : at[k + 1]]) if n == 0 else x[at[k] : at[k + 1]] for n, x in enumerate(bodies))) for k in some.tolist()], pa.binary())},
         schema=to_arrow_schema(MESSAGE),
     )
 
@@ -116,8 +127,7 @@ def probe_hits(group: pa.Table) -> pa.Table:
     if not group.num_rows:
         return to_arrow_schema(MESSAGE).empty_table()
     chunks, bodies = group.column("chunk").to_pylist(), group.column("body").to_pylist()
-    values = [np.frombuffer(b, np.uint32, len(b) // 5) for b in bodies]
-    flags = [np.frombuffer(b, np.uint8, len(b) // 5, len(b) // 5 * 4) for b in bodies]
+    values, flags = zip(*(opened(b, "<u4", "u1") for b in bodies))
     every = np.concatenate(values)
     order = np.argsort(every, kind="stable")
     every, flag = every[order], np.concatenate(flags)[order]
@@ -130,7 +140,7 @@ def probe_hits(group: pa.Table) -> pa.Table:
     for c, v in zip(chunks, values):
         own = v[np.isin(v, hits, assume_unique=True)] if len(hits) else v[:0]
         if len(own):
-            out.append((bucket, c, own.tobytes()))
+            out.append((bucket, c, pack(steps(own))))
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), to_arrow_schema(MESSAGE))], schema=to_arrow_schema(MESSAGE)) if out else to_arrow_schema(MESSAGE).empty_table()
 
 
@@ -143,7 +153,7 @@ def window_messages(buckets: int, least: int, tag: str):
             return to_arrow_schema(MESSAGE).empty_table()
         c = Chunk(left, least)
         h, inside = c.blocks()
-        known = np.sort(np.concatenate([np.frombuffer(b, np.uint32).astype(np.uint64) | np.uint64(k) << np.uint64(32) for k, b in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist())]))
+        known = np.sort(np.concatenate([opened(b, "<u4")[0].astype(np.uint64) | np.uint64(k) << np.uint64(32) for k, b in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist())]))
         hit = np.zeros(len(h), bool)
         hit[inside] = np.isin(h[inside] >> (np.uint64(32) - bits), known)
         a, b, whole = c.windows()
@@ -156,7 +166,7 @@ def window_messages(buckets: int, least: int, tag: str):
         first = np.ones(len(a), bool)
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         a, b, doc = a[first], b[first], doc[first]
-        return messages((a >> (np.uint64(64) - bits)).astype(np.int64), [a, b, doc], left.column(tag)[0].as_py(), buckets)
+        return messages((a >> (np.uint64(64) - bits)).astype(np.int64), [a, b.astype(np.uint32), doc], left.column(tag)[0].as_py(), buckets)
 
     return run
 
@@ -166,10 +176,9 @@ def window_owners(group: pa.Table) -> pa.Table:
     if not group.num_rows:
         return to_arrow_schema(MESSAGE).empty_table()
     chunks, bodies = group.column("chunk").to_pylist(), group.column("body").to_pylist()
-    parts = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in bodies]
-    size = [p.shape[1] for p in parts]
+    parts = [opened(x, "<u8", "<u4", "<i8") for x in bodies]
+    size = [len(p[0]) for p in parts]
     a, b, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    doc = doc.view(np.int64)
     order = np.lexsort((doc, b, a))
     first = np.ones(len(a), bool)
     first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
@@ -180,7 +189,7 @@ def window_owners(group: pa.Table) -> pa.Table:
         own = slice(at, at + n)
         less = owner[own] < doc[own]
         if less.any():
-            out.append((bucket, c, a[own][less].tobytes() + b[own][less].tobytes() + owner[own][less].tobytes()))
+            out.append((bucket, c, pack(steps(a[own][less]), b[own][less], owner[own][less])))
         at += n
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), to_arrow_schema(MESSAGE))], schema=to_arrow_schema(MESSAGE)) if out else to_arrow_schema(MESSAGE).empty_table()
 
@@ -204,10 +213,10 @@ def removal(schema: pa.Schema, least: int):
             group = np.cumsum(first) - 1
             owner = c.doc[order][first]
             if right.num_rows:
-                parts = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in right.column("body").to_pylist()]
+                parts = [opened(x, "<u8", "<u4", "<i8") for x in right.column("body").to_pylist()]
                 ra, rb, ro = (np.concatenate([p[k] for p in parts]) for k in range(3))
                 by = np.lexsort((rb, ra))
-                ra, rb, ro = ra[by], rb[by], ro[by].view(np.int64)
+                ra, rb, ro = ra[by], rb[by], ro[by]
                 ua, ub = a[order][first], b[order][first]
                 lo, hi = np.searchsorted(ra, ua, "left"), np.searchsorted(ra, ua, "right")
                 for step in range(int((hi - lo).max(initial=0))):  # more than one only where first hashes collide
