@@ -4,7 +4,7 @@ Documents are dealt by ranges of their ids and encoded; runs of documents
 make shards. In a shard the frequent neighbouring pairs are replaced by
 nonterminals, round by round from the most frequent down, until no pair is
 frequent. A shard's file holds the rules, the length each nonterminal expands
-to, the reduced sequence in as many bits as its largest symbol needs, and where
+to, the reduced sequence in as many bytes as its largest symbol needs, and where
 each document begins in it, so any document or range of ids is decoded alone.
 Files are binary values of a Parquet table in the shared folder: every store
 that Spark writes can hold them.
@@ -12,6 +12,7 @@ that Spark writes can hold them.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -21,19 +22,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe_text import byte_signs
 from .common import fold_rows, shared_dir, table
 
 #: Ids of a shard at least, if its partition has them; a pair this rare stays; the id that ends each document.
 SHARD_IDS, RARE, END = 1 << 18, 4, 0
 #: Pieces whose ids a worker keeps. A matter of memory, never of results.
-KEEP = 400_000
-#: A lone space or line feed between two signs that are no white space in any library: the splitter always cuts before it.
-CUT = re.compile("(?<=[!-~¡-ᙿ])(?=[ \n][!-~¡-ᙿ])")
-#: A round takes pairs down to the most frequent one's count by this; an odd factor that scatters pairs over 20 bits.
-SPAN, HASH = 4, np.int64(0x1E3779B97F4A7C15)
+KEEP = 1_000_000
+#: Signs that are no white space in any library: a lone space or line feed between two of them is where the splitter always cuts.
+SAFE = "!-~\u00a1-\u167f"
+CUT = re.compile(f"(?<=[{SAFE}])(?=[ \n][{SAFE}])")
+REGULAR = re.compile(f"\n?[{SAFE}](?:.*[{SAFE}])?", re.S)
+#: Pieces of visible ASCII and the letters of Latin-1, the splitter's rule on them, and the signs that stand for their bytes. Fixed values.
+PLAIN = re.compile(r"[ \n]?[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n")
+SIGNS = {c: "".join(byte_signs()[b] for b in chr(c).encode()) for c in [10, 32, *range(128, 256)]}
+#: A round takes pairs down to the most frequent one's count by this; bits of a round's table of pairs, and an odd factor that scatters them.
+SPAN, BITS, HASH = 16, 19, np.int64(0x1E3779B97F4A7C15)
 MAGIC = b"QRPG1\0\0\0"
 
 
+def little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceEncoder:
     """Ids as little-endian unsigned 32-bit integers, as the tokenizers library gives them for whole texts."""
 
@@ -43,6 +55,11 @@ class PieceEncoder:
         self._own = Tokenizer.from_file(path)
         self._own.no_padding()
         self._own.no_truncation()
+        self._model = self._own.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        rule = spec["pre_tokenizer"] or {}
+        self._plain = spec["normalizer"] is None and rule.get("type") == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"]
         self._special = [t.content for t in self._own.get_added_tokens_decoder().values()]
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -50,25 +67,36 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what lies between two places where the splitter always cuts."""
+        if self._plain and PLAIN.fullmatch(piece):
+            tokenize = self._model.tokenize
+            return little([t.id for w in PLAIN_WORDS.findall(piece) for t in tokenize(w.translate(SIGNS))])
+        return self._ids([piece])[0]
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self._special):
             return self._ids([text])[0]
-        pieces = CUT.split(text)
-        new, old = self._new, self._old
-        missing = []
-        for p in set(pieces):
-            if p not in new:
-                got = old.get(p)
+        first, *parts = text.replace("\n", " \n").split(" ")
+        new, out = self._new.get, []
+        if parts and first and REGULAR.fullmatch(first[-1]):
+            for p in parts:
+                got = new(p)
                 if got is None:
-                    missing.append(p)
-                else:
-                    new[p] = got
-        if missing:
-            new.update(zip(missing, self._ids(missing)))
-        out = b"".join([new[p] for p in pieces])
-        if len(new) > KEEP // 2:
-            self._old, self._new = new, {}
-        return out
+                    if not REGULAR.fullmatch(p):
+                        break
+                    # pieces are kept without the space before them
+                    got = self._old.get(p)
+                    if got is None:
+                        got = self._piece(p if p[0] == "\n" else " " + p)
+                    if len(self._new) >= KEEP // 2:
+                        self._old, self._new = self._new, {}
+                        new = self._new.get
+                    self._new[p] = got
+                out.append(got)
+            else:
+                return self._piece(first) + b"".join(out)
+        return b"".join([self._piece(p) for p in CUT.split(text)]) if text else b""
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -95,35 +123,30 @@ def repair(ids: np.ndarray, ends: np.ndarray, rare: int = RARE) -> tuple[np.ndar
     last[ends - 1] = True
     first = symbols = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    bar = 0
+    bins = np.zeros(1 << BITS, np.int64)
     while len(seq) > 1:
         pair = seq[:-1] << 32 | seq[1:]
-        # counts by hash bound the counts of pairs from above, so few pairs have to be sorted
-        hashed = ((pair * HASH) >> 40) & 0xFFFFF
-        hashed[last[:-1]] = 1 << 20
-        bound = np.bincount(hashed, minlength=(1 << 20) + 1)
-        bound[1 << 20] = 0
-        top = int(bound.max())
-        bar = max(rare, min(top // SPAN, bar // 2 if bar else top))
-        values, counts = np.unique(pair[bound[hashed] >= bar], return_counts=True)
-        chosen = values[counts >= bar]
-        if not len(chosen):
-            if bar == rare:
-                break
-            continue
-        pair[last[:-1]] = -1
-        at = np.searchsorted(chosen, pair)
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == pair
+        bin_ = ((pair * HASH) >> np.int64(63 - BITS)) & np.int64((1 << BITS) - 1)
+        # a bin stands for one of its pairs; another that falls into it waits for a later round
+        bins[bin_] = pair
+        own = bins[bin_] == pair
+        own &= ~last[:-1]
+        counts = np.bincount(bin_[own], minlength=1 << BITS)
+        top = int(counts.max())
+        if top < rare:
+            break
+        place = np.flatnonzero(own & (counts >= max(rare, top // SPAN))[bin_])
         # in a run of neighbouring places only every second one can be taken
-        place = np.flatnonzero(hit)
-        begin = np.concatenate([[True], np.diff(place) > 1])
+        begin = np.ones(len(place), bool)
+        begin[1:] = np.diff(place) > 1
         offset = np.arange(len(place)) - np.maximum.accumulate(np.where(begin, np.arange(len(place)), 0))
         place = place[offset % 2 == 0]
-        used, which = np.unique(at[place], return_inverse=True)
-        rules.append(np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1))
-        seq[place] = symbols + which
-        symbols += len(used)
+        used = bin_[place]
+        chosen = np.flatnonzero(np.bincount(used, minlength=1 << BITS))
+        counts[chosen] = np.arange(len(chosen))
+        rules.append(np.stack([bins[chosen] >> 32, bins[chosen] & 0xFFFFFFFF], 1))
+        seq[place] = symbols + counts[used]
+        symbols += len(chosen)
         last[place] = last[place + 1]
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
@@ -131,15 +154,16 @@ def repair(ids: np.ndarray, ends: np.ndarray, rare: int = RARE) -> tuple[np.ndar
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), np.flatnonzero(last) + 1, first
 
 
-def packed_bits(values: np.ndarray, width: int) -> bytes:
-    return b"".join(np.packbits((values[at : at + 65536, None] >> np.arange(width) & 1).astype(np.uint8).reshape(-1), bitorder="little").tobytes() for at in range(0, len(values), 65536))
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Numbers in `width` bytes each."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
-def unpacked_bits(data: bytes, count: int, width: int, start: int, stop: int) -> np.ndarray:
-    """values[start:stop] of packed_bits, without unpacking the rest."""
-    lo, hi = start * width, stop * width
-    bits = np.unpackbits(np.frombuffer(data, np.uint8)[lo // 8 : (hi + 7) // 8], bitorder="little")[lo % 8 : lo % 8 + hi - lo]
-    return bits.reshape(-1, width) @ (1 << np.arange(width, dtype=np.int64))
+def unpacked(data: bytes, width: int, start: int, stop: int) -> np.ndarray:
+    """values[start:stop] of packed()."""
+    out = np.zeros((stop - start, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, (stop - start) * width, start * width).reshape(-1, width)
+    return out.reshape(-1).view("<u4").astype(np.int64)
 
 
 def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -156,11 +180,11 @@ def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     lengths = np.ones(first + len(rules), np.int64)
     for k, (a, b) in enumerate(rules.tolist()):
         lengths[first + k] = lengths[a] + lengths[b]
-    width = max(1, int(seq.max(initial=0)).bit_length())
+    width = max(1, -(-int(seq.max(initial=0)).bit_length() // 8))
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
     head = MAGIC + struct.pack("<QQQQQQ", len(ids), len(flat), len(rules), first, len(seq), width)
-    return b"".join([head, known.tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), tops.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), lengths[first:].astype("<u8").tobytes(), packed_bits(seq, width)])
+    return b"".join([head, known.tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), tops.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), lengths[first:].astype("<u8").tobytes(), packed(seq, width)])
 
 
 class Shard:
@@ -198,11 +222,17 @@ class Shard:
         return seq
 
     def all(self) -> np.ndarray:
-        return self._expanded(unpacked_bits(self._body, self.n_top, self.width, 0, self.n_top))
+        """All ids: rules are expanded once, then every symbol copies its expansion."""
+        seq = unpacked(self._body, self.width, 0, self.n_top)
+        flat = np.concatenate([np.arange(self.first), self._expanded(self.rules.reshape(-1))])
+        size = np.concatenate([np.ones(self.first, np.int64), self.lengths])
+        begin = np.cumsum(size) - size
+        n = size[seq]
+        return flat[np.repeat(begin[seq] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start..stop of the k-th document; only the symbols that cover them are expanded."""
-        seq = unpacked_bits(self._body, self.n_top, self.width, int(self.tops[k]), int(self.tops[k + 1]))
+        seq = unpacked(self._body, self.width, int(self.tops[k]), int(self.tops[k + 1]))
         size = np.ones(len(seq), np.int64)
         big = seq >= self.first
         size[big] = self.lengths[seq[big] - self.first]
