@@ -1,11 +1,11 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then local alignment.
-
-Document frequencies of every benchmark n-gram are counted over all documents.
-The rarer half of each item's n-grams are its seeds, so items made of common
-phrases have seeds as well, and one that has leaked everywhere keeps its own.
-Wherever a seed occurs, the stretch of the document that an edited copy could
-cover is aligned with the item by Smith-Waterman over words; the best score as
-a share of a perfect copy's decides.
+"""Benchmark passages in training documents: word pairs as seeds, then local alignment.
+
+Every word pair of every item is a seed, frequent or not. An alignment of M equal
+words in r unbroken runs holds M - r pairs of the item and scores M - (r - 1) at
+most, so one that scores S holds S - 1 of the item's pairs. Stretches of a document
+with fewer can't reach the share asked for and are left out, which loses nothing;
+all others are aligned with the item by Smith-Waterman over words, and the best
+score as a share of a perfect copy's decides.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import fold_rows, table
 
-#: Words of a seed; seeds of an item at least; share of a perfect score from which a passage counts as the item's.
-GRAM, LEAST_SEEDS, SCORE = 3, 8, 0.5
+#: Words of a seed; words below which an item counts only whole; share of a perfect score from which a passage counts as the item's.
+SEED, GRAM, SCORE = 2, 3, 0.5
 #: Characters of benchmark text that go to the executors at once; larger benchmarks are taken in blocks.
 BLOCK_CHARS = 8_000_000
 #: Gain of an equal word, loss of a different one and of a gap.
@@ -44,26 +44,27 @@ class Items:
             if w:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64))
-        self.gram = gram
         self.base = len(self.vocabulary) + 2
-        if self.base**gram > 2**62:
-            raise ValueError("benchmark block with too many words for its n-gram length")
+        if self.base**SEED > 2**62:
+            raise ValueError("benchmark block with too many words for its seeds")
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, w in enumerate(self.words):
-            for at, key in enumerate(self.keys(w, short=True).tolist()):
+            for at, key in enumerate(self.keys(w, min(SEED, len(w))).tolist()):
                 places[key].append((k, at))
-        self.places = dict(places)
         self.grams = np.array(sorted(places), np.int64)
-        self.short = min((len(w) for w in self.words), default=gram) < gram
-
-    def keys(self, w: np.ndarray, short: bool = False, size: int | None = None) -> np.ndarray:
-        """Keys of the n-grams of word numbers, -1 where a word is unknown; of an item shorter than an n-gram the one of the whole."""
-        n = min(size or self.gram, len(w)) if short else size or self.gram
-        if len(w) < n or not n:
+        self.sizes = sorted({min(SEED, len(w)) for w in self.words})
+        #: Items and places of gram g are those from first[g] to first[g + 1].
+        self.first = np.cumsum([0, *(len(places[g]) for g in self.grams.tolist())])
+        self.item, self.at = np.array([x for g in self.grams.tolist() for x in places[g]], np.int64).reshape(-1, 2).T
+        self.least = np.array([len(w) if len(w) < gram else 0 for w in self.words], np.int64)
+
+    def keys(self, w: np.ndarray, size: int) -> np.ndarray:
+        """Keys of the n-grams of word numbers, -1 where a word is unknown."""
+        if len(w) < size:
             return np.empty(0, np.int64)
-        key = np.zeros(len(w) - n + 1, np.int64)
+        key = np.zeros(len(w) - size + 1, np.int64)
         good = np.ones(len(key), bool)
-        for k in range(n):
+        for k in range(size):
             part = w[k : k + len(key)]
             key = key * self.base + part + 1
             good &= part >= 0
@@ -74,15 +75,35 @@ class Items:
         got, w = self.vocabulary.get, words_of(text)
         return np.fromiter((got(x, -1) for x in w), np.int64, len(w))
 
-    def hits(self, w: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
-        """(place in the document, key) of the n-grams that are in the sorted `grams`."""
-        out: list[tuple[int, int]] = []
-        for n in range(1, self.gram + 1) if self.short else [self.gram]:
-            key = self.keys(w, size=n)
-            if len(key) and len(grams):
-                at = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
-                found = np.flatnonzero((grams[at] == key) & (key >= 0))
-                out += zip(found.tolist(), key[found].tolist())
+    def goals(self, score: float) -> np.ndarray:
+        """Scores from which an alignment counts, by item."""
+        return np.maximum(np.array([score * MATCH * len(w) for w in self.words]), MATCH * self.least)
+
+    def hits(self, w: np.ndarray, need: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """(place in the document, place in the item) of the seeds of each item that has `need` of its own, by item, in the document."""
+        found, gram = [], []
+        for n in self.sizes:
+            key = self.keys(w, n)
+            g = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
+            here = np.flatnonzero(self.grams[g] == key)
+            found.append(here)
+            gram.append(g[here])
+        place, g = np.concatenate(found), np.concatenate(gram)
+
+        def spread(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Each gram's places in items, and which gram they are of."""
+            many = self.first[g + 1] - self.first[g]
+            of = np.repeat(np.arange(len(g)), many)
+            return np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + self.first[g][of], of
+
+        slot, _ = spread(np.unique(g))
+        enough = np.bincount(self.item[slot], minlength=len(need)) >= need
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        if enough.any():
+            slot, of = spread(g)
+            mine = enough[self.item[slot]]
+            for k, p, at in zip(self.item[slot[mine]].tolist(), place[of[mine]].tolist(), self.at[slot[mine]].tolist()):
+                out[k].append((p, at))
         return out
 
 
@@ -112,17 +133,17 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return top, j, end
 
 
-def stretches(places: list[int], length: int, size: int) -> list[tuple[int, int]]:
-    """Parts of a document that copies of an item of `length` words could cover which begin about `places`; overlapping ones are one."""
-    out: list[tuple[int, int]] = []
+def stretches(hits: list[tuple[int, int]], length: int, size: int, need: int) -> list[tuple[int, int]]:
+    """Parts of a document that copies of an item of `length` words about the hits could cover; overlapping ones are one, those with under `need` of the item's places left out."""
+    out: list[tuple[int, int, set[int]]] = []
     slack = length // 2 + 1
-    for p in sorted(places):
+    for p, at in sorted((p - at, at) for p, at in hits):
         a, b = max(0, p - slack), min(size, p + length + slack)
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
+            out[-1] = (out[-1][0], max(out[-1][1], b), out[-1][2] | {at} if at not in out[-1][2] else out[-1][2])
         else:
-            out.append((a, b))
-    return out
+            out.append((a, b, {at}))
+    return [(a, b) for a, b, held in out if len(held) >= need]
 
 
 def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
@@ -134,30 +155,6 @@ def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
     return [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def seeds_of(items: Items, docs: DataFrame) -> np.ndarray:
-    """Keys of each item's rarer half by the number of documents that have them, over all documents."""
-
-    def run(batches):
-        for b in batches:
-            many: dict[int, int] = defaultdict(int)
-            for text in b["text"]:
-                for key in {k for _, k in items.hits(items.numbered(text), items.grams)}:
-                    many[key] += 1
-            yield from many.items()
-
-    counted = fold_rows(docs.select("text"), "gram long, n long", run, 2048).groupBy("gram").agg(F.sum("n").alias("n"))
-    df = dict(counted.collect())  # a row for each n-gram of the block at most
-    own: dict[int, set[int]] = defaultdict(set)
-    for key, at in items.places.items():
-        for k, _ in at:
-            own[k].add(key)
-    out: set[int] = set()
-    for keys in own.values():
-        rare = sorted(keys, key=lambda key: (df.get(key, 0), key))
-        out.update(rare[: max(LEAST_SEEDS, -(-len(rare) // 2))])
-    return np.array(sorted(out), np.int64)
-
-
 def contaminations(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, gram: int = GRAM) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) for each document and item that it holds a copy of, exact or edited.
 
@@ -165,30 +162,29 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, score: float = SCORE,
     those of the best place, counted from 0, the end excluded. Null and empty
     texts on either side match nothing, empty tables give no rows, repeated rows
     count each, other columns are ignored. Words are runs of letters and digits,
-    lower-cased.
+    lower-cased. An item of under `gram` words counts only whole. At SCORE and above
+    the rows are those of aligning all pairs; where score times an item's length is
+    one or less, a pair that shares no two words in a row isn't found.
     """
     out = None
     for block in blocks_of(benchmark):
         items = Items([(r[0], r[1]) for r in block.select("item_id", "text").collect()], gram)
         if items.ids:
-            seeds = seeds_of(items, docs)
+            goals = items.goals(score)
+            need = np.maximum(1, np.ceil(goals / MATCH - 1e-9).astype(np.int64) - 1)
 
-            def run(batches, items=items, seeds=seeds):
+            def run(batches, items=items, goals=goals, need=need):
                 for b in batches:
                     for doc_id, text in zip(b["doc_id"], b["text"]):
                         w = items.numbered(text)
-                        near: dict[int, set[int]] = defaultdict(set)
-                        for place, key in items.hits(w, seeds):
-                            for k, at in items.places[key]:
-                                near[k].add(place - at)
-                        for k in sorted(near):
+                        for k, near in sorted(items.hits(w, need).items()):
                             item = items.words[k]
                             best = (0, 0, 0)
-                            for a, z in stretches(list(near[k]), len(item), len(w)):
+                            for a, z in stretches(near, len(item), len(w), need[k]):
                                 for lo in range(a, z, 4096):  # long stretches in overlapping parts, so memory stays bounded
                                     s, i, j = align(w[lo : min(z, lo + 4096 + 4 * len(item))], item)
                                     best = max(best, (s, -(lo + i), lo + j))
-                            if best[0] >= score * MATCH * len(item):
+                            if best[0] and best[0] >= goals[k]:
                                 yield doc_id, items.ids[k], best[0] / (MATCH * len(item)), -best[1], best[2]
 
             found = fold_rows(docs.select("doc_id", "text"), "doc_id long, item_id long, score double, first_word long, end_word long", run)

@@ -186,6 +186,28 @@ def test_decontamination_finds_planted_copies(spark):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == list(range(30))
 
 
+@pytest.mark.parametrize("edited", [0.15, 0.2, 0.25, 0.3])
+def test_decontamination_is_alignment_of_all_pairs(spark, edited):
+    """Edited copies, some of items that are whole elsewhere, and copies with a word put in after every other."""
+    rng = random.Random(int(edited * 100))
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    bench = [(k, [rng.choice(vocabulary) for _ in range(rng.choice([3, 5, 8, *range(20, 60)]))]) for k in range(40)]
+    rows = []
+    for k, words in bench:
+        copy = []
+        for at, w in enumerate(words):
+            kind = rng.randrange(3) if rng.random() < edited else 3
+            copy += [[], ["new" + w], [w, "more"], [w]][kind] if k % 10 else [w, "more"] if at % 2 else [w]
+        around = [[rng.choice(vocabulary) for _ in range(rng.randrange(30))] for _ in range(2)]
+        rows.append((k, " ".join(around[0] + copy + around[1])))
+    rows += [(100 + k, " ".join(w)) for k, w in bench[::4]]
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in bench], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminations(documents(spark, rows), b).collect()}
+    scores = {(i, k): plain_align(t.split(), w) / len(w) for i, t in rows for k, w in bench}
+    want = {pair: s for pair, s in scores.items() if s >= 0.5}
+    assert got == pytest.approx(want) and len(want) > 30
+
+
 def test_decontamination_odd(spark, odd, nothing):
     df, rows = odd
     b = spark.createDataFrame([(1, "one"), (2, "a b c d e f"), (3, None), (4, "a b c d e f")], "item_id long, text string")
