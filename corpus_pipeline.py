@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import bpe_text, decontaminate, repeats, simhash, toxicity
+from quiverlake.llm import bpe_text, decontaminate, near_copies, repeats, toxicity
 from quiverlake.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group whose fingerprints, of three-word shingles as operator 1 takes them, are linked by two differing bits or fewer."""
-    return simhash.keep_one(docs)
+    """Keeps the smallest doc_id of each group of texts linked by equal words or a verified similarity of 0.8 or more on five-word shingles."""
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import html
 import itertools
 import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -179,6 +180,41 @@ def test_pipeline_is_brute_force(spark):
         assert df.columns == table.columns
 
 
+def test_near_copies_are_brute_force(spark):
+    """Stage 2 keeps the smallest of each component of exact five-word similarity at 0.8 or more."""
+    rng = random.Random(12)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    for k, (_, text) in enumerate(rows[:60]):  # copies on both sides of 0.8
+        w = text.split()
+        for x in rng.sample(range(len(w)), max(1, int(len(w) * rng.choice([0.005, 0.015, 0.03, 0.05])))):
+            w[x] = f"changed{x}"
+        rows += [(10_000 + k, " ".join(w)), (20_000 + k, " ".join(w[3:]))]
+    rows += [(30_000 + k, f"one two three four five six seven {'x' * k}") for k in range(4)] + [(40_000, "one two"), (40_001, "ONE  two")]
+    table = documents(spark, rows)
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, table, SF).select("doc_id").collect()}
+
+    def grams(text):
+        w = text.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    held = sorted((i, grams(t)) for i, t in rows)
+    root = {i: i for i, _ in held}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for k, (a, x) in enumerate(held):
+        for b, y in held[:k]:
+            if x == y or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                linked += x != y
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    assert linked > 40 and kept == {i for i, _ in held if find(i) == i}
+
+
 def test_pipeline_odd(spark, odd, nothing, tmp_path):
     for stage, (name, df) in zip(corpus_pipeline.STAGES, run_stages(spark, odd[0], SF)):
         assert df.count() > 0
