@@ -1,7 +1,6 @@
 """Bigram language model in Elias-Fano tries, and its scores of documents.
 
-A pass over the training documents counts words and, batch by batch, how often
-a word's successor is new given how often the word has been seen. Then
+A pass over the training documents counts words. Then
 documents are dealt to chunks, and each chunk sends every bucket of hashes the
 distinct pairs it holds, with its training counts. A bucket's pairs make a
 trie: contexts, monotone pointers to their successors, and successors relative
@@ -33,6 +32,8 @@ from .common import pack, table, unpack, written
 CHUNK_CHARS, BUCKET_CHARS, FEWEST, SPREAD = 4_000_000, 4_000_000, 256, 16
 #: Steps of a stored probability to the factor two; hashes of the signs for a text's begin and end.
 STEPS, BEGIN, END = 1024, np.uint64(0x1B873593CC9E2D51), np.uint64(0x38495AB5ED558CCD)
+#: In place of a chunk, where a bucket tells how often its contexts' successors are new.
+NOVEL = -1
 MESSAGE = StructType([StructField("bucket", IntegerType()), StructField("chunk", IntegerType()), StructField("body", BinaryType())])
 COUNTED = StructType([StructField("bucket", IntegerType()), StructField("body", BinaryType()), StructField("first", LongType()), StructField("second", LongType())])
 
@@ -153,7 +154,7 @@ def power_of_two(x: float) -> int:
 
 
 def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Training counts of words by bucket of their hashes, and by bits of how often a word was seen before (bucket -1 - bits): new successors and all successors."""
+    """Training counts of words by bucket of their hashes."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     schema = to_arrow_schema(COUNTED)
 
@@ -164,30 +165,16 @@ def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 words = [hashed(t) for t in texts]
                 n = sum(map(len, words)) + len(words)
                 now = np.fromiter((h for w in words for h in (*w, int(END))), np.uint64, n)
-                ends = np.cumsum([len(w) + 1 for w in words])
-                before = np.concatenate([now[:1], now[:-1]])
-                before[np.concatenate([[0], ends[:-1]])] = BEGIN
                 values, many = counted(np.concatenate([now, np.full(len(words), BEGIN)]))
                 rows = [(k, pack(values[s], many[s]), 0, 0) for k, s in cut((values >> shift).astype(np.int64), buckets)]
-                # how often a context's successor occurs but once, by the context's other occurrences
-                contexts, of, times = np.unique(before, return_inverse=True, return_counts=True)
-                pairs = of.astype(np.uint64) << np.uint64(40) | now >> np.uint64(24)
-                pair, n_pair = np.unique(pairs, return_counts=True)
-                owner = (pair >> np.uint64(40)).astype(np.int64)
-                single = np.bincount(owner[n_pair == 1], minlength=len(contexts))
-                bits = np.array([int(t - 1).bit_length() for t in times])
-                rows += [(-1 - k, b"", int(single[bits == k].sum()), int(times[bits == k].sum())) for k in np.unique(bits).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def merge(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        if bucket < 0:
-            row = (bucket, b"", sum(group.column("first").to_pylist()), sum(group.column("second").to_pylist()))
-        else:
-            parts = [unpack(b, "<u8", "<u8") for b in group.column("body").to_pylist()]
-            values, many = counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            real = values != BEGIN
-            row = (bucket, pack(values, many), int(many[real].sum()), int(real.sum()))  # tokens and words
+        parts = [unpack(b, "<u8", "<u8") for b in group.column("body").to_pylist()]
+        values, many = counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        real = values != BEGIN
+        row = (bucket, pack(values, many), int(many[real].sum()), int(real.sum()))  # tokens and words
         return pa.table([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     return docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(count, COUNTED).groupBy("bucket").applyInArrow(merge, COUNTED)
@@ -267,17 +254,47 @@ def answers(words: int, total: int):
             seen = [c > 0 for _, c in asked]
             values, many = counted(np.concatenate([p[s] for p, s in zip(pair, seen)]), np.concatenate([c[s] for (_, c), s in zip(asked, seen)]))
             coded = PairTrie.coded(values >> np.uint64(32), values & np.uint64(0xFFFFFFFF), many.astype(np.float64), total)
+            context, owner = np.unique(values >> np.uint64(32), return_inverse=True)
+            met = [pack(context, np.bincount(owner, many == 1, len(context)).astype("<u8"), np.bincount(owner, many, len(context)).astype("<u8"))]
             with mmap.mmap(-1, len(coded)) as level:
                 level[:] = coded
                 trie = PairTrie(level)
                 del coded, values, many
                 out = [pack(trie.look_up(p >> np.uint64(32), p & np.uint64(0xFFFFFFFF))) for p in pair]
                 del trie
+            out, chunks = out + met, [*chunks, NOVEL]
         return pa.table([pa.array(x, f.type) for x, f in zip(([bucket] * len(out), chunks, out), schema)], schema=schema)
 
     return run
 
 
+def novelty(told: DataFrame) -> DataFrame:
+    """(bits, new, met) over the corpus: successors that a context has but once and all successors, by bits of the context's other occurrences."""
+    schema, sums = to_arrow_schema(MESSAGE), "bits int, new long, met long"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
+                context, single, many = unpack(body, "<u8", "<u8", "<u8")
+                part = (context % np.uint64(FEWEST)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                rows = [(k, bucket, pack(*(x[order][s] for x in (context, single, many)))) for k, s in cut(part[order], FEWEST)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def add(group: pa.Table) -> pa.Table:
+        parts = [unpack(b, "<u8", "<u8", "<u8") for b in group.column("body").to_pylist()]
+        context, single, many = (np.concatenate(x) for x in zip(*parts))
+        _, new = counted(context, single)
+        _, met = counted(context, many)
+        bits = np.frexp((met - np.uint64(1)).astype(np.float64))[1]
+        kinds = np.unique(bits).tolist()
+        return pa.table({"bits": pa.array(kinds, pa.int32()), "new": pa.array([int(new[bits == k].sum()) for k in kinds], pa.int64()), "met": pa.array([int(met[bits == k].sum()) for k in kinds], pa.int64())})
+
+    dealt = told.where(F.col("chunk") == NOVEL).mapInArrow(deal, MESSAGE)
+    return dealt.groupBy("bucket").applyInArrow(add, sums).groupBy("bits").agg(F.sum("new").alias("new"), F.sum("met").alias("met"))
+
+
 def scores(schema: pa.Schema, words: int, pairs: int, total: int, vocabulary: int, fresh: list[float]):
     """Chunk and its answers -> a row for each document. fresh: by bits of a context's count, the share of the model that goes to single words."""
 
@@ -327,16 +344,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     store = written(word_counts(docs, words), "words")
     sums = store.where("bucket >= 0").agg(F.sum("first"), F.sum("second")).first()
     total, vocabulary = sums[0] or 0, sums[1] or 0
-    rate = {-1 - r[0]: r[1] / r[2] for r in store.where("bucket < 0").select("bucket", "first", "second").collect() if r[2]}  # one row for each bit
-    fresh, last = [1.0], 1.0
-    for k in range(1, max(rate, default=0) + 1):
-        last = min(last, max(0.01, min(0.99, rate.get(k, last))))
-        fresh.append(last)
     out = _parse_datatype_string(OUT)
     dealt = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("__held"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("__chunk"))
     asked = dealt.groupBy("__chunk").applyInArrow(questions(words, pairs), MESSAGE)
     known = store.where("bucket >= 0").select("bucket", "body")
-    told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answers(words, total), MESSAGE)
+    told = written(asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answers(words, total), MESSAGE), "told")
+    rate = {r.bits: r.new / r.met for r in novelty(told).collect()}  # one row for each bit
+    fresh, last = [1.0], 1.0
+    for k in range(1, max(rate, default=0) + 1):
+        last = min(last, max(0.01, min(0.99, rate.get(k, last))))
+        fresh.append(last)
+    told = told.where(F.col("chunk") != NOVEL)
     return dealt.groupBy("__chunk").cogroup(told.groupBy("chunk")).applyInArrow(scores(to_arrow_schema(out), words, pairs, total, vocabulary, fresh), out)
 
 

@@ -377,6 +377,32 @@ def test_lm_probabilities_sum_to_one(spark):
     assert all(by[p].score < 0 for p in probe)
 
 
+def test_lm_novelty_is_of_the_corpus(spark):
+    """Scores are those of rates counted over all documents, however the rows are dealt."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(5))) for k in range(5_000)]
+    words, held, one, two, n, v = plain_lm(rows)
+    one["\1"] = held.count(False)
+    met, new = Counter(), Counter()
+    for (a, _), c in two.items():
+        new[(one[a] - 1).bit_length()] += c == 1
+    for a, c in one.items():
+        met[(c - 1).bit_length()] += c if a != "\0" else 0
+    fresh = [1.0]
+    for k in range(1, max(met) + 1):
+        fresh.append(min(fresh[-1], max(0.01, min(0.99, new[k] / met[k]))) if met[k] else fresh[-1])
+
+    def score(ws):
+        out = 0.0
+        for a, b in zip(["\1", *ws], ws):
+            single, share = (one[b] + 1) / (n + v + 1), fresh[min(one[a].bit_length(), len(fresh) - 1)]
+            out += math.log10(share * single + (1 - share) * two[a, b] / one[a] if one[a] else single)
+        return out
+
+    got = {r.doc_id: r.score for r in ngram_lm.lm_scores(documents(spark, rows)).collect()}
+    assert got == pytest.approx({i: score(ws) for i, ws in words}, rel=2e-3)
+
+
 def test_lm_odd(spark, odd, nothing):
     assert ngram_lm.lm_scores(nothing).count() == 0
     held = documents(spark, [(k, "x y") for k in range(30) if zlib.crc32(str(k).encode()) % 7 == 2])
