@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, DoubleType, Row, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -50,7 +51,7 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("vector_distances", VectorDistances)
 
 
-CALLS = ("ann_search_batch", "ann_search_table", "ann_search", "diskann_index_scan", "faiss_index_scan", "hybrid_search", "ann_list", "ann_index_info", "faiss_gpu_info", "diskann_streaming_build")
+CALLS = ("ann_search_batch", "ann_search_table", "ann_search", "diskann_index_scan", "faiss_index_scan", "hybrid_search", "ann_list", "ann_index_info", "faiss_gpu_info", "diskann_streaming_build", "vector_distances")
 
 
 def arguments(text: str) -> list[str]:
@@ -72,27 +73,38 @@ def arguments(text: str) -> list[str]:
     return [*out, rest] if rest else out
 
 
+def plain(text: str) -> str:
+    """The text with the insides of its string literals and quoted names blanked out, place for place."""
+    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`", lambda m: m[0][0] + " " * (len(m[0]) - 2) + m[0][-1], text)
+
+
+def closing(text: str, start: int, name: str) -> int:
+    """The place after the parenthesis that closes the one before `start`."""
+    depth = 1
+    for k, c in enumerate(plain(text)[start:], start):
+        depth += (c == "(") - (c == ")")
+        if not depth:
+            return k + 1
+    raise ValueError(f"{name}: unbalanced parentheses")
+
+
+def bracketed(expression: str) -> str:
+    """[..] written as array(..), but not inside string literals."""
+    bare = plain(expression)
+    return "".join({"[": "array(", "]": ")"}.get(b, c) for b, c in zip(bare, expression))
+
+
 def ann_sql(catalog, text: str) -> DataFrame:
     """A statement whose FROM may call the index functions; each call becomes a view of its result and the rest is Spark's."""
+    from ..operators import knn
     from ..operators.hybrid import hybrid_search
     from ..sources import binary_formats
     from ..sources.catalog import gpu_info
 
     spark = catalog.spark
     number = 0
-    while m := re.search(r"\b(" + "|".join(CALLS) + r")\s*\(", text, re.I):
-        depth, k, quote = 1, m.end(), ""
-        while depth:
-            if k >= len(text):
-                raise ValueError(f"{m[1]}: unbalanced parentheses")
-            c = text[k]
-            if quote:
-                quote = "" if c == quote else quote
-            elif c in "'\"":
-                quote = c
-            else:
-                depth += (c == "(") - (c == ")")
-            k += 1
+    while m := re.search(r"\b(" + "|".join(CALLS) + r")\s*\(", plain(text), re.I):
+        k = closing(text, m.end(), m[1])
         places, named = [], {}
         for a in arguments(text[m.end() : k - 1]):
             if n := re.match(r"(\w+)\s*(?::=|=>)\s*(.*)", a, re.S):
@@ -101,17 +113,21 @@ def ann_sql(catalog, text: str) -> DataFrame:
                 places.append(a)
 
         def value(a: str):
-            a = re.sub(r"\[", "array(", a).replace("]", ")")
-            return spark.sql(f"SELECT {a} AS v").first()[0]
+            return spark.sql(f"SELECT {bracketed(a)} AS v").first()[0]
+
+        def rows(a: str) -> DataFrame:
+            a = re.sub(r"^TABLE\b", "", a, flags=re.I).strip()
+            while a.startswith("(") and closing(a, 1, m[1]) == len(a):
+                a = a[1:-1].strip()
+            return spark.table(a) if re.fullmatch(r"[\w.]+", a) else spark.sql(a)
 
         fn, kw = m[1].lower(), {n: value(v) for n, v in named.items()}
         if fn == "ann_search_table":
-            rows = re.sub(r"^TABLE\b", "", places[0], flags=re.I).strip()
-            while rows.startswith("(") and rows.endswith(")"):
-                rows = rows[1:-1].strip()
-            rows = f"SELECT * FROM {rows}" if re.fullmatch(r"[\w.]+", rows) else rows
             args = [value(a) for a in places[1:]]
-            out = catalog.load_index(args[0], args[1], spark.table(args[0])).search_table(spark.sql(rows), args[2], **kw)
+            out = catalog.load_index(args[0], args[1], spark.table(args[0])).search_table(rows(places[0]), args[2], **kw)
+        elif fn == "vector_distances":
+            args = [value(a) for a in places[1:]]
+            out = knn.vector_distances(rows(places[0]), V.checked_vector(args[0]), metric=args[1] if len(args) > 1 else kw.pop("metric", "l2"), **kw)
         else:
             args = [value(a) for a in places]
             if fn in ("ann_list", "ann_index_info"):
@@ -121,15 +137,20 @@ def ann_sql(catalog, text: str) -> DataFrame:
             elif fn == "diskann_streaming_build":
                 out = binary_formats.streaming_build(spark, *args, **{("sample" if n == "sample_size" else n): v for n, v in kw.items()})
             elif fn == "hybrid_search":
-                index = catalog.load_index(args[0], args[1], spark.table(args[0]), engine="DISKANN")
-                kw.pop("search_complexity", None)
                 base = spark.table(args[0])
-                text_col = next(f.name for f in base.schema.fields if f.dataType.simpleString() == "string")
-                out = hybrid_search(base, base, args[4], args[5], id_col=args[3], vec_id_col=args[3], vec_col=index.m.vec_col, text_col=text_col, **kw)
+                index = catalog.load_index(args[0], args[1], base, engine="DISKANN")
+                wide = kw.pop("search_complexity", 0)
+                near = index.pairs([(0, V.checked_vector(args[4]))], kw.get("vector_candidates", 50), search_complexity=wide)
+                words = kw.pop("text_columns", None) or [f.name for f in base.schema.fields if f.dataType.simpleString() == "string"]
+                words = [words] if isinstance(words, str) else words
+                text_col = F.concat_ws(" ", *words) if words else F.lit("")
+                out = hybrid_search(base, None, args[4], args[5], id_col=args[3], text_col=text_col, near=near.select("id", F.col("_rank").alias("rank")), **kw)
             else:
-                index = catalog.load_index(args[0], args[1], spark.table(args[0]), engine="FAISS" if fn.startswith("faiss") else None)
+                engine = "FAISS" if fn.startswith("faiss") else "DISKANN" if fn.startswith("diskann") else None
+                index = catalog.load_index(args[0], args[1], spark.table(args[0]), engine=engine)
                 call = {"ann_search": index.search, "ann_search_batch": index.search_batch}.get(fn, index.scan)
-                out = call(args[2], args[3], **kw)
+                query = [V.checked_vector(q) for q in args[2]] if fn == "ann_search_batch" else V.checked_vector(args[2])
+                out = call(query, args[3], **kw)
         number += 1
         out.createOrReplaceTempView(view := f"_ann_call_{number}")
         text = f"{text[: m.start()]}{view}{text[k:]}"

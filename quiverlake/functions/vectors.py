@@ -81,12 +81,10 @@ def vector_column(df: DataFrame, error: str) -> str:
     raise ValueError(error)
 
 
-def checked_vector(vector: Sequence[float] | None, dim: int | None = None) -> list[float]:
-    """A query vector as floats; ValueError for null elements, null itself or a wrong length."""
+def checked_vector(vector: Sequence[float] | None) -> list[float]:
+    """A query vector as floats; ValueError for null and for null elements."""
     if vector is None or any(x is None for x in vector):
         raise ValueError("query vector must not be NULL")
-    if dim is not None and len(vector) != dim:
-        raise ValueError(f"query vector has {len(vector)} elements, expected {dim}")
     return [float(x) for x in vector]
 
 

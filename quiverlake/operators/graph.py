@@ -1,15 +1,18 @@
-"""Proximity graphs, one for each shard of vectors: build, search, statistics, repair.
+"""Proximity graphs, one for each shard of vectors: build, search, filter, remove, statistics.
 
-A shard is built and searched where its rows are; answers of all shards are
-merged by distance. Shards are dealt by a hash of the id and sized so that one
-fits a worker, so the number of shards grows with the table, not their size.
+A shard is one row: ids, vectors or their eight-bit codes, edges and entry points
+packed together. It is searched where it is read, whole, so a search moves the
+queries and the hits and never the index. Shards are dealt by a hash of the id
+and sized so that one fits a worker: their number grows with the table, not
+their size. Walks of many queries go in lock-step, as matrices.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
-from dataclasses import dataclass
+import io
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,13 +21,20 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: Rows of a shard, about.
-SHARD_ROWS = 5_000
+#: Rows of a shard, about; queries that walk a shard together.
+SHARD_ROWS, TOGETHER = 5_000, 256
 
 
 @dataclass(frozen=True)
 class GraphParams:
-    """What a graph is built by. Defaults: degree 64, list of 128, prune factor 1.2, slack 1.3, pool of 750."""
+    """What a graph is built by. Defaults: degree 64, list of 128, prune factor 1.2, slack 1.3, pool of 750.
+
+    minibatch: vectors that are inserted together, each a candidate of the others.
+    retries: how often a search for neighbours that finds fewer than the degree is
+    repeated with twice the list. start: where walks begin, see start_points().
+    layers: thinned graphs above, one vector in max_degree / 2 of the one below, that lead to the entry point.
+    saturate: pruned lists are filled up to the degree with the nearest that were left out.
+    """
 
     max_degree: int = 64
     build_complexity: int = 128
@@ -32,187 +42,469 @@ class GraphParams:
     slack: float = 1.3
     pool: int = 750
     metric: str = "l2"
+    minibatch: int = 32
+    retries: int = 1
+    start: str = "first"
+    starts: int = 1
+    layers: bool = False
+    saturate: bool = False
 
 
-def _to(vectors: np.ndarray, ids: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distances (small is near) of some vectors to one."""
-    v = vectors[ids]
+def _near(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances (small is near) between the last axes of two arrays that broadcast."""
     if metric == "l2":
-        d = v - q
-        return np.einsum("ij,ij->i", d, d)
+        d = a - b
+        return np.einsum("...j,...j->...", d, d)
+    dot = np.einsum("...j,...j->...", a, b)
     if metric == "cosine":
-        return 1 - (v @ q) / (np.linalg.norm(v, axis=1) * np.linalg.norm(q) + 1e-30)
-    return -(v @ q)
+        return 1 - dot / (np.sqrt(np.einsum("...j,...j->...", a, a) * np.einsum("...j,...j->...", b, b)) + 1e-30)
+    return -dot
 
 
-def best_first(vectors: np.ndarray, edges: list[np.ndarray], entries: Sequence[int], q: np.ndarray, size: int, metric: str) -> tuple[list[tuple[float, int]], list[tuple[float, int]]]:
-    """(results nearest first, at most `size`; all nodes that were expanded) of a walk from the entry points.
+def best_first(vectors: np.ndarray, adjacency: np.ndarray, entries: Sequence[int], q: np.ndarray, size: int, metric: str, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+    """At most `size` results, nearest first, of one query's walk from the entry points.
 
     The nearest open candidate is expanded until the list is full and no open
-    candidate is nearer than its last member.
+    candidate is nearer than its last member. With `allowed` (a flag for each
+    vector), results and candidates are allowed vectors alone: a neighbour that
+    isn't is replaced by its own neighbours that are.
     """
-    seen = set(entries)
-    start = list(entries)
-    d = _to(vectors, np.array(start), q, metric)
-    result = sorted(zip(d.tolist(), start))[:size]
-    heap = list(result)
+    seen = np.zeros(len(vectors), bool)
+
+    def scored(nodes: np.ndarray) -> list[tuple[float, int]]:
+        seen[nodes] = True
+        return list(zip(_near(vectors[nodes], q, metric).tolist(), nodes.tolist()))
+
+    heap = scored(np.unique(np.array(entries)))
+    result = sorted(x for x in heap if allowed is None or allowed[x[1]])[:size]
     heapq.heapify(heap)
-    expanded: list[tuple[float, int]] = []
     while heap:
         dist, node = heapq.heappop(heap)
         if len(result) >= size and dist > result[-1][0]:
             break
-        expanded.append((dist, node))
-        fresh = [x for x in edges[node].tolist() if x not in seen]
-        if not fresh:
-            continue
-        seen.update(fresh)
-        near = _to(vectors, np.array(fresh), q, metric)
+        near = adjacency[node]
+        near = near[near >= 0]
+        if allowed is not None:
+            other = near[~allowed[near] & ~seen[near]]
+            seen[other] = True
+            two = adjacency[other].ravel()
+            near = np.unique(np.concatenate([near[allowed[near]], two[(two >= 0) & allowed[two]]]))
+            if not len(near) and not result:  # nothing allowed in reach yet: walk on over what there is
+                near = other
+                seen[other] = False
+        fresh = scored(near[~seen[near]])
         bar = result[-1][0] if len(result) >= size else np.inf
-        for x in np.flatnonzero(near < bar).tolist():
-            item = (float(near[x]), fresh[x])
-            heapq.heappush(heap, item)
-            result.append(item)
+        for item in fresh:
+            if item[0] < bar:
+                heapq.heappush(heap, item)
+                if allowed is None or allowed[item[1]]:
+                    result.append(item)
         result.sort()
         del result[size:]
-    return result, expanded
+    return result
+
 
+def walk_many(vectors: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, queries: np.ndarray, size: int, metric: str) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(nodes, distances, steps) of all queries' walks in lock-step: a row of `size` results each, nearest first, -1 and infinity beyond what was found.
 
-def prune(vectors: np.ndarray, node: int, pool: list[tuple[float, int]], p: GraphParams) -> np.ndarray:
-    """Neighbours of a node out of a pool: nearest first, none that a kept one occludes; the bar rises to alpha in steps while there is room."""
-    pool = sorted({(d, x) for d, x in pool if x != node})[: p.pool]
-    if not pool:
-        return np.empty(0, np.int64)
-    ids, dist = np.array([x for _, x in pool]), np.array([d for d, _ in pool])
-    occlusion, kept, taken = np.zeros(len(ids)), [], np.zeros(len(ids), bool)
+    entries has a row of entry points for each query. In a step every query that
+    isn't done expands its nearest open candidate; steps are (queries, nodes, distances).
+    """
+    nq, rows = len(queries), np.arange(len(queries))
+    width = max(size, entries.shape[1])
+    seen = np.zeros((nq, len(vectors)), bool)
+    node, dist, open_ = np.full((nq, width), -1), np.full((nq, width), np.inf), np.zeros((nq, width), bool)
+    m = entries.shape[1]
+    node[:, :m], open_[:, :m] = entries, True
+    dist[:, :m] = _near(vectors[entries], queries[:, None, :], metric)
+    np.put_along_axis(seen, entries, True, 1)
+    order = np.argsort(dist, 1, kind="stable")
+    node, dist, open_ = (np.take_along_axis(x, order, 1)[:, :size] for x in (node, dist, open_))
+    steps = []
+    while len(rows):
+        rows = rows[open_[rows].any(1)]
+        if not len(rows):
+            break
+        at = open_[rows].argmax(1)
+        here = node[rows, at]
+        open_[rows, at] = False
+        steps.append((rows, here, dist[rows, at]))
+        near = adjacency[here]
+        fresh = near >= 0
+        fresh &= ~seen[rows[:, None], np.maximum(near, 0)]
+        r, c = np.nonzero(fresh)
+        if not len(r):
+            continue
+        to = near[r, c]
+        seen[rows[r], to] = True
+        d = np.full(near.shape, np.inf)
+        d[r, c] = _near(vectors[to], queries[rows[r]], metric)
+        all_d = np.concatenate([dist[rows], d], 1)
+        take = np.argsort(all_d, 1, kind="stable")[:, :size]
+        dist[rows] = np.take_along_axis(all_d, take, 1)
+        node[rows] = np.take_along_axis(np.concatenate([node[rows], np.where(fresh, near, -1)], 1), take, 1)
+        open_[rows] = np.take_along_axis(np.concatenate([open_[rows], fresh], 1), take, 1)
+    return node, dist, steps
+
+
+def prune(vectors: np.ndarray, node: int, pool: np.ndarray, p: GraphParams) -> np.ndarray:
+    """Neighbours of a node out of a pool of nodes: nearest first, none that a kept one occludes; the bar rises to alpha in steps while there is room."""
+    pool = np.unique(pool)
+    pool = pool[pool != node]
+    dist = _near(vectors[pool], vectors[node], p.metric)
+    order = np.argsort(dist, kind="stable")[: p.pool]
+    ids, dist = pool[order], dist[order]
+    if not len(ids):
+        return ids
+    own = vectors[ids]
+    occlusion, taken, kept = np.zeros(len(ids)), np.zeros(len(ids), bool), 0
     bar = 1.0
     while True:
         for k in range(len(ids)):
-            if len(kept) >= p.max_degree:
+            if kept >= p.max_degree:
                 break
             if taken[k] or occlusion[k] > bar:
                 continue
             taken[k] = True
-            kept.append(k)
-            after = np.arange(k + 1, len(ids))
-            if len(after):
-                between = _to(vectors, ids[after], vectors[ids[k]], p.metric)
+            kept += 1
+            if k + 1 < len(ids):
+                between = _near(own[k + 1 :], own[k], p.metric)
                 if p.metric == "ip":
-                    occlusion[after] = np.where(between < bar * dist[after], np.maximum(occlusion[after], bar + 0.01), occlusion[after])
+                    occlusion[k + 1 :] = np.where(between < bar * dist[k + 1 :], np.maximum(occlusion[k + 1 :], bar + 0.01), occlusion[k + 1 :])
                 else:
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        ratio = np.where(between > 0, dist[after] / between, np.inf)
-                    occlusion[after] = np.maximum(occlusion[after], ratio)
-        if bar >= p.alpha or len(kept) >= p.max_degree:
+                        ratio = np.where(between > 0, dist[k + 1 :] / between, np.inf)
+                    occlusion[k + 1 :] = np.maximum(occlusion[k + 1 :], ratio)
+        if bar >= p.alpha or kept >= p.max_degree:
             break
         bar = min(p.alpha, bar * min(p.alpha, 1.2)) if p.alpha > 1 else p.alpha
-    return ids[np.array(kept)]
-
-
-def build(vectors: np.ndarray, p: GraphParams) -> list[np.ndarray]:
-    """Out-edges of every vector, inserted in order; the first is the entry point. Every node stays reachable: one that pruning has cut off is tied to its predecessor."""
-    edges: list[np.ndarray] = [np.empty(0, np.int64) for _ in range(len(vectors))]
-    for k in range(1, len(vectors)):
-        _, walked = best_first(vectors, edges, [0], vectors[k], p.build_complexity, p.metric)
-        edges[k] = prune(vectors, k, walked, p)
-        for x in edges[k].tolist():
-            own = np.append(edges[x], k)
-            if len(own) > p.max_degree * p.slack:
-                own = prune(vectors, x, list(zip(_to(vectors, own, vectors[x], p.metric).tolist(), own.tolist())), p)
-            edges[x] = own
-    for k, own in enumerate(edges):
-        if len(own) > p.max_degree:
-            edges[k] = prune(vectors, k, list(zip(_to(vectors, own, vectors[k], p.metric).tolist(), own.tolist())), p)
-    seen, todo = {0}, [0]
-    while True:
-        while todo:
-            for x in edges[todo.pop()].tolist():
-                if x not in seen:
-                    seen.add(x)
-                    todo.append(x)
-        lost = next((x for x in range(len(vectors)) if x not in seen), None) if len(seen) < len(vectors) else None
-        if lost is None:
-            return edges
-        edges[lost - 1] = np.append(edges[lost - 1], lost)
-        seen.add(lost)
-        todo.append(lost)
+    if p.saturate:
+        taken[np.flatnonzero(~taken)[: p.max_degree - kept]] = True
+    return ids[taken]
+
+
+def start_points(vectors: np.ndarray, kind: str, n: int = 1, seed: int = 0) -> np.ndarray:
+    """Nodes where walks begin: 'first', 'medoid', n of a 'sample', or those nearest to n 'random' directions of the mean length or to a 'latin' hypercube's points."""
+    n, rng = max(1, min(n, len(vectors))), np.random.default_rng(seed)
+    if kind == "first":
+        return np.arange(n)
+    if kind == "sample":
+        return np.sort(rng.choice(len(vectors), n, replace=False))
+    if kind == "medoid":
+        points = vectors.mean(0, keepdims=True)
+    elif kind == "random":
+        points = rng.normal(size=(n, vectors.shape[1]))
+        points *= np.sqrt((vectors**2).sum(1)).mean() / np.maximum(np.sqrt((points**2).sum(1, keepdims=True)), 1e-30)
+    elif kind == "latin":
+        lo, hi = vectors.min(0), vectors.max(0)
+        cell = np.stack([rng.permutation(n) for _ in range(vectors.shape[1])], 1)
+        points = lo + (cell + rng.random(cell.shape)) / n * (hi - lo)
+    else:
+        raise ValueError(f"Unknown start '{kind}'")
+    return np.unique([int(_near(vectors, x, "l2").argmin()) for x in points])
+
+
+def build(vectors: np.ndarray, p: GraphParams, entries: Sequence[int] = (0,)) -> np.ndarray:
+    """Adjacency (a row of neighbours for each vector, -1 beyond the last) of a graph whose walks begin at the entry points.
+
+    Vectors are inserted in batches that grow with the graph up to minibatch; a
+    batch's members are candidates of each other. Every node stays reachable: one
+    that pruning has cut off is tied to a node that is reached.
+    """
+    n = len(vectors)
+    room = max(1, int(p.max_degree * p.slack))
+    adjacency = np.full((n, room + 1), -1)
+    entries = np.unique(np.array(entries, np.int64))
+    order = np.concatenate([entries, np.setdiff1d(np.arange(n), entries)])
+
+    def put(x: int, own: np.ndarray) -> None:
+        if len(own) > room:
+            own = prune(vectors, x, own, p)
+        adjacency[x] = -1
+        adjacency[x, : len(own)] = own
+
+    for x in entries:
+        put(int(x), entries[entries != x])
+    done = len(entries)
+    while done < n:
+        batch = order[done : done + max(1, min(p.minibatch, done // 4))]
+        size = p.build_complexity
+        for _ in range(1 + p.retries):
+            _, _, steps = walk_many(vectors, adjacency, np.tile(entries, (len(batch), 1)), vectors[batch], size, p.metric)
+            who, met = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
+            if np.bincount(who, minlength=len(batch)).min() >= min(p.max_degree, done):
+                break
+            size *= 2
+        back: dict[int, list[int]] = {}
+        for j, x in enumerate(batch.tolist()):
+            put(x, prune(vectors, x, np.concatenate([met[who == j], batch]), p))
+            for y in adjacency[x][adjacency[x] >= 0].tolist():
+                back.setdefault(y, []).append(x)
+        for y, new in back.items():
+            own = adjacency[y][adjacency[y] >= 0]
+            put(y, np.concatenate([own, np.setdiff1d(new, own)]))
+        done += len(batch)
+    for x in np.flatnonzero((adjacency >= 0).sum(1) > p.max_degree).tolist():
+        put(x, prune(vectors, x, adjacency[x][adjacency[x] >= 0], p))
+    return connected(adjacency, entries)
+
+
+def reached(adjacency: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Flags of the nodes that the entry points lead to."""
+    seen, front = np.zeros(len(adjacency), bool), np.asarray(entries)
+    seen[front] = True
+    while len(front):
+        front = np.unique(adjacency[front])
+        front = front[(front >= 0)]
+        front = front[~seen[front]]
+        seen[front] = True
+    return seen
+
+
+def connected(adjacency: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The adjacency with an edge more to each node that no walk would reach."""
+    while len(adjacency):
+        seen = reached(adjacency, entries)
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            break
+        from_ = int(np.flatnonzero(seen)[np.searchsorted(np.flatnonzero(seen), lost[0]) - 1])
+        free = np.flatnonzero(adjacency[from_] < 0)
+        if not len(free):
+            adjacency = np.concatenate([adjacency, np.full((len(adjacency), 1), -1)], 1)
+            free = [adjacency.shape[1] - 1]
+        adjacency[from_, free[0]] = lost[0]
+    return adjacency[:, : max(1, int((adjacency >= 0).sum(1).max(initial=0)))]
+
+
+@dataclass
+class Shard:
+    """One graph. `vectors` are float64; with `codes` they are what the codes say, and only the codes are stored."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    adjacency: np.ndarray
+    entries: np.ndarray
+    attr: np.ndarray | None = None
+    codes: np.ndarray | None = None
+    lo: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    above: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    @staticmethod
+    def made(ids: np.ndarray, vectors: np.ndarray, p: GraphParams, attr: np.ndarray | None = None, sq8: tuple | None = None) -> Shard:
+        """A graph of vectors in the order given. sq8: (lo, scale) by which vectors are stored."""
+        entries = start_points(vectors, p.start, p.starts)
+        s = Shard(ids, vectors, build(vectors, p, entries), entries, attr)
+        if p.layers:
+            s.above, nodes, thin = [], np.arange(len(ids)), replace(p, layers=False, start="first", starts=1)
+            rng = np.random.default_rng(len(ids))
+            while len(nodes) > max(2, p.max_degree):
+                nodes = np.sort(rng.choice(nodes, max(1, len(nodes) // max(2, p.max_degree // 2)), replace=False))
+                s.above.insert(0, (nodes, build(vectors[nodes], thin)))
+        if sq8:
+            s.lo, s.scale = (np.array(x, np.float64) for x in sq8)
+            s.codes = np.clip(np.floor((vectors - s.lo) / s.scale * 255 + 0.5), 0, 255).astype(np.uint8)
+        return s
+
+    def pack(self) -> bytes:
+        out, flat = io.BytesIO(), {}
+        for name in ("attr", "codes", "lo", "scale"):
+            if (v := getattr(self, name)) is not None:
+                flat[name] = v
+        if self.codes is None:
+            flat["vectors"] = self.vectors.astype(np.float32)
+        for k, (nodes, adjacency) in enumerate(self.above or []):
+            flat |= {f"nodes{k}": nodes.astype(np.int32), f"edges{k}": adjacency.astype(np.int32)}
+        np.savez(out, adjacency=self.adjacency.astype(np.int32), entries=self.entries.astype(np.int32), layers=np.int64(-1 if self.above is None else len(self.above)), **flat)
+        return out.getvalue()
+
+    @staticmethod
+    def open(ids: np.ndarray, body: bytes) -> Shard:
+        with np.load(io.BytesIO(body), allow_pickle=False) as f:
+            get = lambda n: f[n] if n in f else None
+            codes, lo, scale = get("codes"), get("lo"), get("scale")
+            vectors = f["vectors"].astype(np.float64) if codes is None else codes / 255.0 * scale + lo
+            n = int(f["layers"])
+            above = None if n < 0 else [(f[f"nodes{k}"].astype(np.int64), f[f"edges{k}"].astype(np.int64)) for k in range(n)]
+            return Shard(np.asarray(ids, np.int64), vectors, f["adjacency"].astype(np.int64), f["entries"].astype(np.int64), get("attr"), codes, lo, scale, above)
+
+    def row(self, shard: int) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [shard], "ids": [self.ids.tolist()], "body": [self.pack()]})
+
+    def begin(self, queries: np.ndarray, metric: str) -> np.ndarray:
+        """Entry points for each query: the shard's, or where the layers above lead."""
+        if not self.above:
+            return np.tile(self.entries, (len(queries), 1))
+        at = np.zeros((len(queries), 1), np.int64)
+        for k, (nodes, adjacency) in enumerate(self.above):
+            near = walk_many(self.vectors[nodes], adjacency, at, queries, min(8, len(nodes)), metric)[0][:, :1]
+            found = nodes[near]
+            at = np.searchsorted(self.above[k + 1][0], found) if k + 1 < len(self.above) else found
+        return at
+
+    def search(self, queries: np.ndarray, size: int, metric: str, allowed: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """The labels that each query's walk ends with."""
+        size = min(size, len(self.ids))
+        for lo in range(0, len(queries), TOGETHER):
+            some = queries[lo : lo + TOGETHER]
+            start = self.begin(some, metric)
+            if len(some) == 1 or size >= 1000 or allowed is not None:
+                for q, e in zip(some, start):
+                    yield np.array([x for _, x in best_first(self.vectors, self.adjacency, e.tolist(), q, size, metric, allowed)], np.int64)
+            else:
+                for nodes in walk_many(self.vectors, self.adjacency, start, some, size, metric)[0]:
+                    yield nodes[nodes >= 0]
+
+    def without(self, labels: np.ndarray, p: GraphParams) -> Shard:
+        """The graph without some nodes: those that had edges to them get their neighbours in exchange, pruned anew; labels close up."""
+        gone = np.zeros(len(self.ids), bool)
+        gone[labels] = True
+        kept = np.flatnonzero(~gone)
+        adjacency = np.full((len(self.ids), max(self.adjacency.shape[1], p.max_degree)), -1)
+        for x in kept.tolist():
+            own = self.adjacency[x][self.adjacency[x] >= 0]
+            todo, met = own[gone[own]], set()
+            if len(todo):
+                pool = own[~gone[own]].tolist()
+                while len(todo):  # a removed neighbour's removed neighbours stand for it in turn
+                    met.update(todo.tolist())
+                    two = self.adjacency[todo].ravel()
+                    two = np.unique(two[two >= 0])
+                    pool += two[~gone[two]].tolist()
+                    todo = np.array([y for y in two[gone[two]].tolist() if y not in met], np.int64) if not pool else np.empty(0, np.int64)
+                own = prune(self.vectors, x, np.array(pool, np.int64), p)
+            adjacency[x, : len(own)] = own
+        place = np.cumsum(~gone) - 1
+        small = adjacency[kept]
+        small = np.where(small >= 0, place[np.maximum(small, 0)], -1)
+        entries = place[self.entries[~gone[self.entries]]]
+        if not len(entries) and len(kept):
+            entries = start_points(self.vectors[kept], "medoid")
+        pick = lambda a: None if a is None else a[kept]
+        return Shard(self.ids[kept], self.vectors[kept], connected(small, entries), entries, pick(self.attr), pick(self.codes), self.lo, self.scale)
+
+
+#: A graph table: a row for each shard. And what it says, a row for each vector.
+SHARDS = "shard int, ids array<long>, body binary"
+GRAPH = "shard int, label int, id long, vector array<float>, neighbors array<int>, entry boolean"
 
 
-GRAPH = "shard int, label int, id long, vector array<float>, neighbors array<int>, entry boolean"
+def each(shards: DataFrame, one: Callable[[int, Shard], pd.DataFrame | None], schema: str) -> DataFrame:
+    """What `one` makes of each shard, where the shard is read."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for shard, ids, body in zip(pdf["shard"], pdf["ids"], pdf["body"]):
+                made = one(int(shard), Shard.open(ids, body))
+                if made is not None and len(made):
+                    yield made
 
+    return shards.select("shard", "ids", "body").mapInPandas(run, schema)
 
-def build_graph(df: DataFrame, params: GraphParams, *, id_col: str = "vec_id", vec_col: str = "embedding", shards: int | None = None) -> DataFrame:
-    """A graph table of df's vectors: shard, label (the place in its shard, by id), id, vector, neighbors (labels), entry. Null vectors are left out."""
-    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vector"))
+
+def build_graph(df: DataFrame, params: GraphParams, *, id_col: str = "vec_id", vec_col: str = "embedding", shards: int | None = None, attr_col: str | None = None, sq8: tuple | None = None) -> DataFrame:
+    """A graph table of df's vectors, in each shard by id. Null vectors are left out. attr_col: an integer that searches may filter by. sq8: (lo, scale), to store codes in place of floats."""
+    attr = F.col(attr_col).cast("long") if attr_col else F.lit(None).cast("long")
+    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vector"), attr.alias("attr"))
     shards = shards or max(1, -(-rows.count() // SHARD_ROWS))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        edges = build(np.array(pdf["vector"].tolist(), np.float32).astype(np.float64), params)
-        return pd.DataFrame({"shard": pdf["shard"], "label": np.arange(len(pdf)), "id": pdf["id"], "vector": pdf["vector"], "neighbors": [e.tolist() for e in edges], "entry": np.arange(len(pdf)) == 0})
+        pdf = pdf.sort_values("id", kind="stable")
+        vectors = np.array(pdf["vector"].tolist(), np.float32).astype(np.float64)
+        attrs = pdf["attr"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64) if attr_col else None
+        return Shard.made(pdf["id"].to_numpy(np.int64), vectors, params, attrs, sq8).row(int(pdf["shard"].iloc[0]))
 
-    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, GRAPH)
+    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, SHARDS)
 
 
-def graph_search(graph: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int, *, search_complexity: int = 0, params: GraphParams | None = None) -> DataFrame:
-    """(query_idx, id, _distance, _rank): the k nearest that the walks of all shards find, by exact distance, ties by id. Queries of another length find nothing."""
+def rows_of(shards: DataFrame) -> DataFrame:
+    """A row for each vector: shard, label (the place in its shard), id, vector, neighbors (labels), entry."""
+
+    def one(shard: int, s: Shard) -> pd.DataFrame:
+        n = np.arange(len(s.ids))
+        return pd.DataFrame({"shard": shard, "label": n, "id": s.ids, "vector": s.vectors.astype(np.float32).tolist(), "neighbors": [a[a >= 0].tolist() for a in s.adjacency], "entry": np.isin(n, s.entries)})
+
+    return each(shards, one, GRAPH)
+
+
+def hits(shards: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int, *, search_complexity: int = 0, params: GraphParams | None = None, attr: int | None = None) -> DataFrame:
+    """(query_idx, id, _distance, shard, label): the k nearest that the walk of each shard finds, by exact distance. Queries of another length find nothing. attr: only vectors with this attribute."""
     p = params or GraphParams()
     size = max(k, search_complexity if search_complexity > 0 else p.build_complexity)
     good = [(i, np.array(q, np.float64)) for i, q in queries if q is not None and all(x is not None for x in q)]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(shard: int, s: Shard) -> pd.DataFrame | None:
         from .knn import matrix_distances
 
-        pdf = pdf.sort_values("label", kind="stable")
-        vectors = np.array(pdf["vector"].tolist(), np.float32).astype(np.float64)
-        edges, ids = [np.array(e, np.int64) for e in pdf["neighbors"]], pdf["id"].to_numpy()
-        entries = np.flatnonzero(pdf["entry"].to_numpy()).tolist() or [0]
+        own = [(i, q) for i, q in good if len(q) == s.vectors.shape[1]]
+        if not own or not len(s.ids):
+            return None
+        allowed = None if attr is None else s.attr == attr if s.attr is not None else np.zeros(len(s.ids), bool)
         out = []
-        for i, q in good:
-            if len(q) != vectors.shape[1]:
-                continue
-            found, _ = best_first(vectors, edges, entries, q, size, p.metric)
-            at = np.array([x for _, x in found])
-            exact = matrix_distances("l2" if p.metric == "l2" else p.metric, q[None, :], vectors[at])[0]
-            near = exact if p.metric == "l2" else -exact
-            for x in np.lexsort((ids[at], near))[:k].tolist():
-                out.append((i, int(ids[at[x]]), float(exact[x] if p.metric != "ip" else near[x])))
-        return pd.DataFrame(out, columns=["query_idx", "id", "_distance"]).astype({"query_idx": "int64", "id": "int64", "_distance": "float64"})
+        for (i, q), at in zip(own, s.search(np.array([q for _, q in own]), size, p.metric, allowed)):
+            if len(at):
+                exact = matrix_distances(p.metric, q[None, :], s.vectors[at])[0]
+                near = exact if p.metric == "l2" else -exact
+                for x in np.lexsort((s.ids[at], near))[:k].tolist():
+                    out.append((i, int(s.ids[at[x]]), float(exact[x] if p.metric != "ip" else near[x]), shard, int(at[x])))
+        return pd.DataFrame(out, columns=["query_idx", "id", "_distance", "shard", "label"])
+
+    return each(shards, one, "query_idx long, id long, _distance double, shard int, label int")
 
-    hits = graph.groupBy("shard").applyInPandas(one, "query_idx long, id long, _distance double")
-    near = F.col("_distance").desc() if p.metric == "cosine" else F.col("_distance").asc()
-    return hits.withColumn("_rank", F.row_number().over(Window.partitionBy("query_idx").orderBy(near, "id"))).where(F.col("_rank") <= k)
+
+def best(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_idx, id, _distance, _rank): each query's k best hits, ties by id."""
+    near = F.col("_distance").desc() if metric == "cosine" else F.col("_distance").asc()
+    rank = F.row_number().over(Window.partitionBy("query_idx").orderBy(near, "id"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= k).select("query_idx", "id", "_distance", "_rank")
+
+
+def graph_search(shards: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int, *, search_complexity: int = 0, params: GraphParams | None = None, attr: int | None = None) -> DataFrame:
+    """(query_idx, id, _distance, _rank): the k nearest that the walks of all shards find, by exact distance, ties by id. Queries of another length find nothing."""
+    p = params or GraphParams()
+    return best(hits(shards, queries, k, search_complexity=search_complexity, params=p, attr=attr), k, p.metric)
 
 
-def degree_stats(graph: DataFrame) -> DataFrame:
+def degree_stats(shards: DataFrame) -> DataFrame:
     """One row: nodes, largest, mean and smallest degree, and nodes of degree under two."""
-    n = F.size("neighbors")
-    return graph.agg(F.count(F.lit(1)).alias("nodes"), F.max(n).alias("max_degree"), F.avg(n).alias("avg_degree"), F.min(n).alias("min_degree"), F.sum((n < 2).cast("long")).alias("less_than_two"))
 
+    def one(shard: int, s: Shard) -> pd.DataFrame:
+        d = (s.adjacency >= 0).sum(1)
+        return pd.DataFrame({"n": [len(d)], "most": [int(d.max(initial=0))], "total": [int(d.sum())], "least": [int(d.min(initial=1 << 30))], "few": [int((d < 2).sum())]})
 
-def edges_of(graph: DataFrame) -> DataFrame:
-    return graph.select("shard", F.col("label").alias("src"), F.explode("neighbors").alias("dst"))
+    per = each(shards, one, "n long, most int, total long, least int, few long")
+    return per.agg(F.sum("n").alias("nodes"), F.max("most").alias("max_degree"), (F.sum("total") / F.sum("n")).alias("avg_degree"), F.min("least").alias("min_degree"), F.sum("few").alias("less_than_two"))
 
 
-def reachable(graph: DataFrame) -> DataFrame:
-    """(shard, nodes, reached): how many nodes each shard's entry points lead to, by frontier joins that are written each round."""
-    from ..sources.scratch import written
+def edges_of(shards: DataFrame) -> DataFrame:
+    return rows_of(shards).select("shard", F.col("label").alias("src"), F.explode("neighbors").alias("dst"))
 
-    edges, seen = edges_of(graph), written(graph.where("entry").select("shard", "label"), "seen")
-    front = seen
-    while not front.isEmpty():
-        step = front.join(edges, (front["shard"] == edges["shard"]) & (front["label"] == edges["src"])).select(edges["shard"], F.col("dst").alias("label")).distinct()
-        front = written(step.join(seen, ["shard", "label"], "left_anti"), "front")
-        seen = written(seen.unionByName(front), "seen")
-    return graph.groupBy("shard").agg(F.count(F.lit(1)).alias("nodes")).join(seen.groupBy("shard").agg(F.count(F.lit(1)).alias("reached")), "shard", "left").fillna(0, ["reached"])
 
+def reachable(shards: DataFrame) -> DataFrame:
+    """(shard, nodes, reached): how many nodes each shard's entry points lead to."""
+    return each(shards, lambda shard, s: pd.DataFrame({"shard": [shard], "nodes": [len(s.ids)], "reached": [int(reached(s.adjacency, s.entries).sum())]}), "shard int, nodes long, reached long")
 
-def drop_deleted(graph: DataFrame, deleted: DataFrame) -> DataFrame:
-    """graph with edges to deleted ids taken out of the lists of those that have them, and the deleted rows too; labels stay."""
-    gone = graph.join(deleted.select(F.col(deleted.columns[0]).alias("id")).distinct(), "id", "left_semi").groupBy("shard").agg(F.collect_set("label").alias("_gone"))
-    kept = graph.join(gone, "shard", "left")
-    lost = F.coalesce("_gone", F.array().cast("array<int>"))
-    return kept.where(~F.array_contains(lost, F.col("label"))).withColumn("neighbors", F.array_except("neighbors", lost)).select(*graph.columns)
+
+def drop_deleted(shards: DataFrame, deleted: DataFrame, params: GraphParams | None = None) -> DataFrame:
+    """The graph table without the ids in the first column of `deleted`: neighbours of removed vectors are reconnected, shards that lose none stay as they are, and empty ones go."""
+    ids = shards.select("shard", F.posexplode("ids").alias("label", "id"))
+    gone = ids.join(deleted.select(F.col(deleted.columns[0]).cast("long").alias("id")).distinct(), "id").groupBy("shard").agg(F.collect_list("label").alias("_gone"))  # a shard's labels are bounded
+    return without(shards, gone, params or GraphParams())
+
+
+def without(shards: DataFrame, gone: DataFrame, p: GraphParams) -> DataFrame:
+    """The graph table without the labels in gone(shard, _gone)."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for shard, ids, body, labels in zip(pdf["shard"], pdf["ids"], pdf["body"], pdf["_gone"]):
+                if labels is None:
+                    yield pd.DataFrame({"shard": [shard], "ids": [ids], "body": [body]})
+                elif len(labels) < len(ids):
+                    yield Shard.open(ids, body).without(np.array(labels, np.int64), p).row(int(shard))
+
+    return shards.join(gone, "shard", "left").select("shard", "ids", "body", "_gone").mapInPandas(run, SHARDS)
 
 
 def medoid(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -227,11 +519,3 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of exact (query_idx, id) pairs that were found."""
     hit = exact.select("query_idx", "id").join(found.select("query_idx", "id").distinct().withColumn("_hit", F.lit(1)), ["query_idx", "id"], "left")
     return hit.agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"), F.count(F.lit(1)).alias("pairs"))
-
-
-def exact_pairs(df: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int, metric: str = "l2") -> DataFrame:
-    from .knn import nearest_pairs
-
-    return nearest_pairs(queries, df, k, metric=metric)
-
-

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 #: Textbook parameters, and the constant of reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
-TOKEN = "([a-z0-9]+)"
+#: Runs of letters and digits of any script.
+TOKEN = r"([\p{L}\p{N}]+)"
 
 
 def tokens(text: Column) -> Column:
@@ -24,7 +25,7 @@ def tokens(text: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """The distinct tokens of a query, in order."""
-    return list(dict.fromkeys(re.findall(TOKEN, query.lower())))
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
 def times(words: Column, term: str) -> Column:
@@ -32,10 +33,10 @@ def times(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
 
-def bm25_top(docs: DataFrame, query: str, n: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bm25_top(docs: DataFrame, query: str, n: int, *, id_col: str = "doc_id", text_col: str | Column = "text") -> DataFrame:
     """(id, score, rank): the n documents of the best BM25 score among those that hold a word of the query, ties by id. Null texts are empty documents."""
     terms = query_terms(query)
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_t"))
+    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col) if isinstance(text_col, str) else text_col).alias("_t"))
     counted = rows.select("id", F.size("_t").alias("_len"), *[times(F.col("_t"), t).alias(f"_tf{k}") for k, t in enumerate(terms)])
     if not terms:
         return counted.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
@@ -63,15 +64,17 @@ def fused(bm25: DataFrame | None, vector: DataFrame | None, *, bm25_weight: floa
     return both.select("id", (part("a", bm25_weight) + part("b", vector_weight)).alias("_rrf_score"), F.col("a").cast("int").alias("_bm25_rank"), F.col("b").cast("int").alias("_vector_rank"))
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, query_vec: Sequence[float], query_text: str, *, k: int = 20, bm25_weight: float = 0.3, vector_weight: float = 0.7, bm25_candidates: int = 50, vector_candidates: int = 50, id_col: str = "doc_id", text_col: str = "text", vec_id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "l2") -> DataFrame:
-    """docs' columns with `_rrf_score`, `_bm25_rank`, `_vector_rank`: the k best of both rankings together, ties by id. A text without tokens leaves the vector ranking alone."""
+def hybrid_search(docs: DataFrame, vectors: DataFrame | None, query_vec: Sequence[float], query_text: str, *, k: int = 20, bm25_weight: float = 0.3, vector_weight: float = 0.7, bm25_candidates: int = 50, vector_candidates: int = 50, id_col: str = "doc_id", text_col: str | Column = "text", vec_id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "l2", near: DataFrame | None = None) -> DataFrame:
+    """docs' columns with `_rrf_score`, `_bm25_rank`, `_vector_rank`: the k best of both rankings together, ties by id. A text without tokens leaves the vector ranking alone. near(id, rank): a vector ranking found elsewhere, as by an index."""
     from pyspark.sql import Window
 
     from .knn import search
 
-    near = search(vectors, query_vec, vector_candidates, metric=metric, id_col=vec_id_col, vec_col=vec_col).select(F.col(vec_id_col).alias("id"), "_distance")
-    order = F.col("_distance").asc() if metric.lower().startswith("l2") else F.col("_distance").desc()
-    ranked = near.withColumn("rank", F.row_number().over(Window.orderBy(order, "id"))).select("id", "rank")
+    if near is None:
+        near = search(vectors, query_vec, vector_candidates, metric=metric, id_col=vec_id_col, vec_col=vec_col).select(F.col(vec_id_col).alias("id"), "_distance")
+        order = F.col("_distance").asc() if metric.lower().startswith("l2") else F.col("_distance").desc()
+        near = near.withColumn("rank", F.row_number().over(Window.orderBy(order, "id")))  # vector_candidates rows
+    ranked = near.select("id", "rank")
     words = bm25_top(docs, query_text, bm25_candidates, id_col=id_col, text_col=text_col) if query_terms(query_text) else None
     best = fused(words, ranked, bm25_weight=bm25_weight, vector_weight=vector_weight).orderBy(F.col("_rrf_score").desc(), "id").limit(k)
     hits = best.withColumnRenamed("id", "__id")

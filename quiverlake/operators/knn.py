@@ -8,7 +8,7 @@ doesn't grow with the table. Larger sets of queries run in blocks of that size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -95,68 +95,149 @@ def matrix_distances(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.n
     return out
 
 
+def approximate(metric: str, queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values by norms and a matrix product, small is near, NaN for what has no value; a bound for each query on how far they are from matrix_distances)."""
+    unit = 8 * (queries.shape[1] + 2) * np.finfo(np.float64).eps
+    with np.errstate(all="ignore"):
+        dot = queries @ rows.T
+        sq, sr = np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", rows, rows)
+        if metric == "l2":
+            out, bound = sq[:, None] + sr[None, :] - 2 * dot, unit * (sq + sr.max(initial=0.0))
+        elif metric == "ip":
+            out, bound = -dot, unit * np.sqrt(sq * sr.max(initial=0.0))
+        else:
+            out, bound = -dot / (np.sqrt(sr)[None, :] * np.sqrt(sq)[:, None]), np.full(len(queries), unit)
+        if metric != "cosine" and not np.isfinite(out).all() or metric == "cosine" and not (np.isfinite(sq).all() and np.isfinite(sr).all()):
+            exact = matrix_distances(metric, queries, rows)
+            return (exact if metric == "l2" else -exact), np.zeros(len(queries))
+    return out, bound
+
+
+def _numbered(queries: list[tuple[int, Sequence[float]]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, numbers, matrix) of the queries without nulls, in blocks of BLOCK_ELEMENTS."""
+    by_dim: dict[int, list[tuple[int, list[float]]]] = {}
+    for i, q in queries:
+        if q is not None and all(x is not None for x in q):
+            by_dim.setdefault(len(q), []).append((i, [float(x) for x in q]))
+    for dim, own in by_dim.items():
+        step = max(1, BLOCK_ELEMENTS // max(1, dim))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            yield dim, np.array([i for i, _ in part]), np.array([q for _, q in part], np.float64).reshape(len(part), dim)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, matrix) of Arrow batches of ids and vectors, up to 4096 rows at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 4096):
+            s = b.slice(lo, 4096)
+            yield s.column(0).to_pylist(), s.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 def nearest_pairs(queries: list[tuple[int, Sequence[float]]], df: DataFrame, k: int, *, metric: str = "l2", id_col: str = "vec_id", vec_col: str | None = None) -> DataFrame:
     """(query_idx, id, _distance, _rank): each query's k nearest rows, ranked from 1, ties by id.
 
+    Norms and a matrix product choose candidates with room for their rounding,
+    and candidates' values are summed in order, so results are those of search().
     Queries that are null, hold nulls or have another length than a row match
-    nothing. Tasks hand on their own best k only.
+    nothing, and so do rows without a value, as zero vectors under cosine. Tasks
+    hand on their own best k only.
     """
     m, vec = V.metric_name(metric), vec_col or V.vector_column(df, "table must have a numeric array column")
     kind = df.schema[id_col].dataType.simpleString()
     out_schema = T._parse_datatype_string(f"query_idx long, id {kind}, _distance double")
-    good = [(i, [float(x) for x in q]) for i, q in queries if q is not None and all(x is not None for x in q)]
-    by_dim: dict[int, list[tuple[int, list[float]]]] = {}
-    for i, q in good:
-        by_dim.setdefault(len(q), []).append((i, q))
     found = None
-    for dim, own in by_dim.items():
-        step = max(1, BLOCK_ELEMENTS // max(1, dim))
-        for at in range(0, len(own), step):
-            part = own[at : at + step]
-            numbers, matrix = np.array([i for i, _ in part]), np.array([q for _, q in part], np.float64).reshape(len(part), dim)
-
-            def best(batches: Iterator[pa.RecordBatch], numbers=numbers, matrix=matrix) -> Iterator[pa.RecordBatch]:
-                from pyspark.sql.pandas.types import to_arrow_schema
-
-                schema = to_arrow_schema(out_schema)
-                held_id: list = [[] for _ in numbers]
-                held_d: list = [np.empty(0) for _ in numbers]
-                for b in batches:
-                    for lo in range(0, b.num_rows, 4096):
-                        s = b.slice(lo, 4096)
-                        if not s.num_rows:
-                            continue
-                        ids = s.column(0).to_pylist()
-                        rows = s.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
-                        for qa in range(0, len(numbers), 256):
-                            values = matrix_distances(m, matrix[qa : qa + 256], rows)
-                            for j, v in enumerate(values, qa):
-                                key = v if m == "l2" else -v
-                                all_d = np.concatenate([held_d[j], key])
-                                if len(all_d) > 4 * k + 64:  # cheap cut that keeps ties
-                                    bar = np.partition(all_d, k - 1)[k - 1]
-                                    keep = np.flatnonzero(all_d <= bar)
-                                else:
-                                    keep = np.flatnonzero(~np.isnan(all_d))
-                                n = len(held_id[j])
-                                some = [(all_d[x], held_id[j][x] if x < n else ids[x - n]) for x in keep.tolist()]
-                                some.sort(key=lambda r: (r[0], r[1]))
-                                held_d[j], held_id[j] = np.array([r[0] for r in some[:k]]), [r[1] for r in some[:k]]
-                for j, i in enumerate(numbers.tolist()):
-                    if held_id[j]:
-                        d = held_d[j] if m == "l2" else -held_d[j]
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(d), schema.field(0).type), pa.array(held_id[j], schema.field(1).type), pa.array(d, schema.field(2).type)], schema=schema)
-
-            rows = df.where(V.valid(F.col(vec), dim)).select(F.col(id_col), V.doubles(F.col(vec)).alias("_v"))
-            one = rows.mapInArrow(best, out_schema)
-            found = one if found is None else found.unionByName(one)
-    if found is None or k <= 0:
+    for dim, numbers, matrix in _numbered(queries) if k > 0 else ():
+
+        def best(batches: Iterator[pa.RecordBatch], numbers=numbers, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            schema = to_arrow_schema(out_schema)
+            held: list[list[tuple]] = [[] for _ in numbers]
+            for ids, rows in _blocks(batches, matrix.shape[1]):
+                for qa in range(0, len(numbers), 256):
+                    values, bounds = approximate(m, matrix[qa : qa + 256], rows)
+                    for j, (v, bound) in enumerate(zip(values, bounds.tolist()), qa):
+                        some = np.flatnonzero(v <= (held[j][-1][0] + bound if len(held[j]) >= k else np.inf))
+                        if len(some) > k:
+                            some = some[v[some] <= np.partition(v[some], k - 1)[k - 1] + 2 * bound]
+                        if len(some):
+                            exact = matrix_distances(m, matrix[j : j + 1], rows[some])[0]
+                            key = exact if m == "l2" else -exact
+                            held[j] = sorted([*held[j], *zip(key.tolist(), (ids[x] for x in some.tolist()))])[:k]
+            for j, i in enumerate(numbers.tolist()):
+                if held[j]:
+                    d = np.array([r[0] for r in held[j]])
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(d), schema.field(0).type), pa.array([r[1] for r in held[j]], schema.field(1).type), pa.array(d if m == "l2" else -d, schema.field(2).type)], schema=schema)
+
+        rows = df.where(V.valid(F.col(vec), dim)).select(F.col(id_col), V.doubles(F.col(vec)).alias("_v"))
+        one = rows.mapInArrow(best, out_schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
         return df.sparkSession.createDataFrame([], f"query_idx long, id {kind}, _distance double, _rank int")
     near = F.col("_distance").asc() if m == "l2" else F.col("_distance").desc()
     rank = F.row_number().over(Window.partitionBy("query_idx").orderBy(near, F.col("id").asc()))
     return found.withColumn("_rank", rank).where(F.col("_rank") <= k)
 
 
+def range_pairs(queries: list[tuple[int, Sequence[float]]], df: DataFrame, radius: float, *, metric: str = "l2", id_col: str = "vec_id", vec_col: str | None = None) -> DataFrame:
+    """(query_idx, id, _distance): all rows at most radius from each query, for similarities at least radius. Only pairs within it ever leave a batch."""
+    m, vec = V.metric_name(metric), vec_col or V.vector_column(df, "table must have a numeric array column")
+    kind = df.schema[id_col].dataType.simpleString()
+    out_schema = T._parse_datatype_string(f"query_idx long, id {kind}, _distance double")
+    edge = radius if m == "l2" else -radius
+    found = df.sparkSession.createDataFrame([], out_schema)
+    for dim, numbers, matrix in _numbered(queries):
+
+        def within(batches: Iterator[pa.RecordBatch], numbers=numbers, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            schema = to_arrow_schema(out_schema)
+            for ids, rows in _blocks(batches, matrix.shape[1]):
+                for qa in range(0, len(numbers), 256):
+                    values, bounds = approximate(m, matrix[qa : qa + 256], rows)
+                    for j, (v, bound) in enumerate(zip(values, bounds.tolist()), qa):
+                        some = np.flatnonzero(v <= edge + bound)
+                        if len(some):
+                            exact = matrix_distances(m, matrix[j : j + 1], rows[some])[0]
+                            hit = np.flatnonzero(exact <= radius if m == "l2" else exact >= radius)
+                            yield pa.RecordBatch.from_arrays([pa.array([int(numbers[j])] * len(hit), schema.field(0).type), pa.array([ids[some[x]] for x in hit.tolist()], schema.field(1).type), pa.array(exact[hit], schema.field(2).type)], schema=schema)
+
+        rows = df.where(V.valid(F.col(vec), dim)).select(F.col(id_col), V.doubles(F.col(vec)).alias("_v"))
+        found = found.unionByName(rows.mapInArrow(within, out_schema))
+    return found
+
+
+def pair_distances(pairs: DataFrame, queries: DataFrame, df: DataFrame, *, metric: str = "l2", query_col: str = "query_idx", query_vec: str = "query", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """pairs(query_col, id_col) with the `_distance` of each given row to its given query; pairs whose row or query is unknown are left out, invalid vectors give null."""
+    a, b = F.col("__v"), F.col("__q")
+    value, _ = V.ranked(metric, a, b)
+    rows = pairs.join(df.select(F.col(id_col), F.col(vec_col).alias("__v")), id_col).join(queries.select(F.col(query_col), F.col(query_vec).alias("__q")), query_col)
+    whole = F.coalesce(V.valid(a, F.size(b)) & ~F.exists(b, lambda x: x.isNull()), F.lit(False))
+    return rows.select(*pairs.columns, F.when(whole, value).alias("_distance"))
+
+
+def pairs_by_blocks(rows: Iterator[tuple], width: int, run: Callable[[list], DataFrame]) -> DataFrame | None:
+    """run() over a query table's rows in blocks of BLOCK_ELEMENTS; beyond the first block results are written before the next is gathered."""
+    from ..sources.scratch import written
+
+    step, out, block = max(1, BLOCK_ELEMENTS // max(1, width)), None, []
+
+    def add(last: bool) -> None:
+        nonlocal out, block
+        if block:
+            found = run(block)
+            found = found if last and out is None else written(found, "pairs")
+            out, block = found if out is None else out.unionByName(found), []
+
+    for r in rows:
+        block.append((r[0], r[1]))
+        if len(block) >= step:
+            add(False)
+    add(True)
+    return out
+
+
 def search_batch(df: DataFrame, queries: Sequence[Sequence[float]], k: int, *, metric: str = "l2", id_col: str = "vec_id", vec_col: str | None = None) -> DataFrame:
     """query_idx (the query's place in the list, from 0), all columns of df and `_distance`: each query's k nearest. No queries give no rows; k <= 0 is an error."""
     if k <= 0:
@@ -171,22 +252,26 @@ def fetched(pairs: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
     return hits.join(df, F.col("__id") == df[id_col]).select(F.col("query_idx").cast("int").alias("query_idx"), *[df[c] for c in df.columns], "_distance")
 
 
-def search_table(queries: DataFrame, df: DataFrame, k: int, *, table: str = "base", metric: str = "l2", id_col: str = "vec_id", vec_col: str | None = None, limit_queries: int = 1_000_000) -> DataFrame:
+def search_table(queries: DataFrame, df: DataFrame, k: int, *, table: str = "base", metric: str = "l2", id_col: str = "vec_id", vec_col: str | None = None) -> DataFrame:
     """For every row of `queries`, its columns with the columns of its k nearest rows of df and `_distance`.
 
     The query vector is the first numeric array column. Columns of df whose name
-    the queries have too are called <table>_<name>. Queries are numbered and
-    gathered in blocks; a set larger than limit_queries must go through an index.
+    the queries have too are called <table>_<name>. Queries are numbered and go
+    through the search in blocks, however many they are.
     """
+    return joined_search(queries, df, id_col, table, lambda rows: nearest_pairs(rows, df, k, metric=metric, id_col=id_col, vec_col=vec_col))
+
+
+def joined_search(queries: DataFrame, df: DataFrame, id_col: str, table: str, run: Callable[[list], DataFrame]) -> DataFrame:
+    """search_table() by any search of numbered queries."""
     vec = V.vector_column(queries, "ann_search_table: input table must have a numeric LIST or ARRAY column for queries")
-    numbered = queries.withColumn("__q", F.monotonically_increasing_id())
     from ..sources.scratch import written
 
-    numbered = written(numbered, "queries")  # numbers must be the same for the search and for the join
-    if numbered.count() > limit_queries:
-        raise ValueError(f"ann_search_table: more than {limit_queries} query rows; split them or use an index with cells")
-    rows = [(r[0], r[1]) for r in numbered.select("__q", vec).toLocalIterator()]
-    pairs = nearest_pairs(rows, df, k, metric=metric, id_col=id_col, vec_col=vec_col)
+    numbered = written(queries.withColumn("__q", F.monotonically_increasing_id()), "queries")  # numbers must be the same for the search and for the join
+    width = numbered.agg(F.max(F.size(vec))).first()[0] or 1
+    pairs = pairs_by_blocks(numbered.select("__q", vec).toLocalIterator(), width, run)
+    if pairs is None:
+        pairs = run([])
     taken = set(queries.columns)
     names = {c: f"{table}_{c}" if c in taken else c for c in df.columns}
     base = df.select(F.col(id_col).alias("__id"), *[F.col(c).alias(names[c]) for c in df.columns])

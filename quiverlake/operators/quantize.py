@@ -35,6 +35,16 @@ def decode(codes: Column, lo: Sequence[float], scale: Sequence[float]) -> Column
     return F.zip_with(F.zip_with(codes.cast("array<double>"), s, lambda c, w: c / 255 * w), a, lambda x, m: x + m)
 
 
+def stored(c: Column, lo: Sequence[float], scale: Sequence[float]) -> Column:
+    """Codes in one byte each, as they are stored: less 128."""
+    return F.transform(encode(c, lo, scale), lambda x: (x - 128).cast("tinyint"))
+
+
+def restored(codes: Column, lo: Sequence[float], scale: Sequence[float]) -> Column:
+    """The vector that stored() codes stand for."""
+    return decode(F.transform(codes, lambda x: x.cast("smallint") + 128), lo, scale)
+
+
 def sq8_search(df: DataFrame, query: Sequence[float], k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "l2", rerank: int = 0) -> DataFrame:
     """The k rows nearest by decoded codes, with `_distance`. With rerank, that many candidates are taken and ordered by their exact distances."""
     lo, scale = params_arrays(sq8_params(df, vec_col))

@@ -176,15 +176,26 @@ def _(spark, sf):
     return found.select(F.col("query_idx").alias("qid"), F.col("id").alias("vec_id"), F.col("_distance").alias("d"))
 
 
+@query("knn_cosine_zero_rows", f"WITH {MANY}, z AS (SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN embedding ELSE list_transform(embedding, lambda x: 0.0::FLOAT) END AS embedding FROM embeddings), r AS (SELECT qid, vec_id, {COS} AS d, row_number() OVER (PARTITION BY qid ORDER BY {COS} DESC, vec_id) AS rk FROM z, q WHERE vec_id % 50 = 0) SELECT qid, vec_id, d FROM r WHERE rk <= 5")
+def _(spark, sf):
+    e = rows(spark, sf)
+    many = [(r[0], r[1]) for r in e.where(F.col("vec_id") % EACH == 0).select("vec_id", "embedding").collect()]
+    mostly = e.withColumn("embedding", F.when(F.col("vec_id") % 50 == 0, F.col("embedding")).otherwise(F.transform("embedding", lambda x: F.lit(0.0).cast("float"))))
+    return knn.nearest_pairs(many, mostly, 5, metric="cosine").select(F.col("query_idx").alias("qid"), F.col("id").alias("vec_id"), F.col("_distance").alias("d"))
+
+
 @query("knn_lateral", f"WITH {MANY}, {RANKED} SELECT qid, vec_id, d FROM r WHERE rk <= 2")
 def _(spark, sf):
-    sqlfuncs.register(spark)
-    rows(spark, sf).createOrReplaceTempView("lateral_base")
-    return spark.sql(
-        f"""SELECT q.vec_id AS qid, n.vec_id, n.d FROM (SELECT vec_id, embedding FROM lateral_base WHERE vec_id % {EACH} = 0) q,
-        LATERAL (SELECT b.vec_id, aggregate(zip_with(cast(b.embedding AS array<double>), cast(q.embedding AS array<double>), (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x) AS d
-        FROM lateral_base b ORDER BY d, b.vec_id LIMIT 2) n"""
-    )
+    e = rows(spark, sf)
+    many = e.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    return out(knn.search_table(many, e, 2), "qid", "vec_id", "d")
+
+
+@query("pair_distances", f"SELECT b.vec_id, a.vec_id AS query_idx, {fold('b.embedding', 'a.embedding', 'l2')} AS d FROM embeddings b JOIN embeddings a ON a.vec_id = b.vec_id // 7")
+def _(spark, sf):
+    e = rows(spark, sf)
+    pairs = e.select("vec_id", F.floor(F.col("vec_id") / 7).cast("long").alias("query_idx"))
+    return out(knn.pair_distances(pairs, e.select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("query")), e), "vec_id", "query_idx", "d")
 
 
 @query("knn_bad_dim_empty", "SELECT vec_id, label, 0.0::DOUBLE AS d FROM embeddings WHERE false")
@@ -216,10 +227,9 @@ def _(spark, sf):
 
 @query("vector_distances_sql", f"WITH {Q0} SELECT vec_id, {L2} AS d FROM embeddings, q")
 def _(spark, sf):
-    sqlfuncs.register(spark)
-    rows(spark, sf).select("vec_id", V.doubles(F.col("embedding")).alias("embedding")).createOrReplaceTempView("distance_base")
+    rows(spark, sf).createOrReplaceTempView("distance_base")
     q = ", ".join(f"{x!r}D" for x in vector(spark, sf))
-    return spark.sql(f"SELECT vec_id, _distance AS d FROM vector_distances(TABLE(distance_base), array({q}), 'l2')")
+    return sqlfuncs.ann_sql(catalog(spark), f"SELECT vec_id, _distance AS d FROM vector_distances(TABLE(distance_base), [{q}], 'l2')")
 
 
 # filters, ranges, pages
@@ -302,6 +312,24 @@ def _(spark, sf):
     return plan.rows
 
 
+@query("order_by_stale_index", top(f"sqrt({L2})", k=5))
+def _(spark, sf):
+    c, e = catalog(spark), rows(spark, sf)
+    c.create_index(e.where("vec_id >= 5"), "idx", "embeddings", "embedding", "vec_id", "FAISS")
+    plan = planner.order_by_distance(c, e, "embeddings", "array_distance", "embedding", vector(spark, sf), limit=5)
+    assert plan.index is None
+    return plan.rows.select("vec_id", "label", F.col("distance").alias("d"))
+
+
+@query("ann_sql_literals", "SELECT 'foo [bar] ann_search(x)' AS said, 'a [b]' AS also, count(*) AS n FROM (SELECT 1 FROM embeddings LIMIT 3)")
+def _(spark, sf):
+    c = catalog(spark)
+    c.create_index(rows(spark, sf), "idx", "literal_base", "embedding", "vec_id", "FAISS")
+    rows(spark, sf).createOrReplaceTempView("literal_base")
+    q = ", ".join(f"{x!r}D" for x in vector(spark, sf))
+    return sqlfuncs.ann_sql(c, f"SELECT 'foo [bar] ann_search(x)' AS said, 'a [b]' AS also, count(*) AS n FROM ann_search('literal_base', 'idx', [{q}], 3)")
+
+
 @query("ann_sql_call", top(L2, k=4))
 def _(spark, sf):
     c = catalog(spark)
@@ -429,6 +457,33 @@ def _(spark, sf):
     return out(quantize.sq8_search(rows(spark, sf), vector(spark, sf), 5, rerank=100))
 
 
+def coded(where: str = "") -> str:
+    return f"WITH {LO}, {CELL}, v AS (SELECT vec_id, label, list(code::DOUBLE / 255 * scale + lo ORDER BY pos) AS embedding FROM c GROUP BY vec_id, label), {Q0} SELECT vec_id, label, {L2} AS d FROM v, q {where} ORDER BY d, vec_id LIMIT 10"
+
+
+@query("sq8_index_flat", coded("WHERE label <> 2"))
+def _(spark, sf):
+    """Codes are what is stored, through deletion, vacuum and reload."""
+    index = flat(spark, sf, description="SQ8").delete(rows(spark, sf).where("label = 2").select("vec_id")).vacuum()
+    again = Catalog(spark, index.root).load_index("embeddings", "idx", rows(spark, sf))
+    assert "codes" in again._read(again.m.segments, "").columns
+    return out(again.search(vector(spark, sf), 10))
+
+
+@query("sq8_index_ivf", coded())
+def _(spark, sf):
+    return out(flat(spark, sf, description="IVF8,SQ8", nprobe=8, train_sample=200).search(vector(spark, sf), 10))
+
+
+@query("sq8_index_graph", coded("WHERE label <> 2"))
+def _(spark, sf):
+    e = rows(spark, sf)
+    index = catalog(spark).create_index(e, "idx", "embeddings", "embedding", "vec_id", "DISKANN", max_degree=24, build_complexity=48, quantization="sq8")
+    index.delete(e.where("label = 2").select("vec_id")).consolidate()
+    again = Catalog(spark, index.root).load_index("embeddings", "idx", e)
+    return out(again.search(vector(spark, sf), 10, search_complexity=1_000_000))
+
+
 # inverted lists
 
 STRIDE = "st AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS cell FROM (SELECT e.*, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings e) WHERE pos IN (SELECT (i * n2) // 16 FROM range(16) t(i), (SELECT count(*) AS n2 FROM embeddings)))"
@@ -457,7 +512,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cells, centroids = celled(spark, sf)
-    return out(ivf.ivf_search(cells, vector(spark, sf), 5, centroids, nprobe=1))
+    path = shared_dir(spark) + "/cells"
+    cells.write.partitionBy("cell").parquet(path)  # other cells' folders aren't read
+    return out(ivf.ivf_search(spark.read.parquet(path), vector(spark, sf), 5, centroids, nprobe=1))
 
 
 @query("ivf_search_all_cells", top(L2))
@@ -468,7 +525,7 @@ def _(spark, sf):
 
 # text and fusion
 
-BM25 = f"""w AS (SELECT unnest(['the', 'with', 'this']) AS t, unnest([1, 2, 3]) AS o), tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1) AS ts FROM documents),
+BM25 = f"""w AS (SELECT unnest(['the', 'with', 'this']) AS t, unnest([1, 2, 3]) AS o), tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([\\p{{L}}\\p{{N}}]+)', 1) AS ts FROM documents),
 st AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS mean FROM tok), tf AS (SELECT doc_id, len(ts) AS l, t, o, len(list_filter(ts, lambda x: x = t)) AS tf FROM tok, w),
 df AS (SELECT t, count(*) FILTER (WHERE tf > 0)::DOUBLE AS df FROM tf GROUP BY t),
 sc AS (SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * l / mean)) ORDER BY o), 6) AS score FROM tf JOIN df USING (t), st GROUP BY doc_id HAVING max(tf) > 0),
@@ -503,6 +560,21 @@ def _(spark, sf):
     return blended(spark, sf, bm25_weight=0.8, vector_weight=0.2)
 
 
+BOTH = "(SELECT vec_id AS doc_id FROM embeddings)"
+
+
+@query("hybrid_index_search", rrf(0.3, 0.7).replace("AS ts FROM documents", f"AS ts FROM documents SEMI JOIN {BOTH} USING (doc_id)").replace("FROM embeddings, q)", "FROM embeddings, q WHERE vec_id IN (SELECT doc_id FROM documents))"))
+def _(spark, sf):
+    """The SQL call: text columns as named, vectors by the walk of the graph index."""
+    base = rows(spark, sf, "documents").join(rows(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    base.createOrReplaceTempView("hybrid_base")
+    c = catalog(spark)
+    c.create_index(base.select("doc_id", "embedding"), "idx", "hybrid_base", "embedding", "doc_id", "DISKANN", max_degree=24, build_complexity=48)
+    q = ", ".join(f"{x!r}D" for x in vector(spark, sf))
+    found = sqlfuncs.ann_sql(c, f"SELECT * FROM hybrid_search('hybrid_base', 'idx', 'embedding', 'doc_id', [{q}], '{TEXT}', text_columns := ['text'], search_complexity := 1000000)")
+    return found.select("doc_id", "lang", F.col("_bm25_rank").alias("bm25_rank"), F.col("_vector_rank").alias("vector_rank"), F.round("_rrf_score", 9).alias("rrf_score"))
+
+
 @query("hybrid_vector_only", f"WITH {Q0}, {NEAR} SELECT doc_id, lang, 0 AS bm25_rank, rk::INTEGER AS vector_rank, round(0.7::DOUBLE / (60.0::DOUBLE + rk), 9) AS rrf_score FROM vr JOIN documents USING (doc_id) WHERE rk <= 20")
 def _(spark, sf):
     return blended(spark, sf, text="???")
@@ -513,8 +585,8 @@ def _(spark, sf):
 PARAMS = graph.GraphParams(max_degree=24, build_complexity=48)
 
 
-def graphed(spark, sf):
-    return written(graph.build_graph(rows(spark, sf), PARAMS, shards=8), "graph")
+def graphed(spark, sf, **how):
+    return written(graph.build_graph(rows(spark, sf), PARAMS, **how), "graph")
 
 
 @query("graph_search_exhaustive", top(L2))
@@ -531,21 +603,92 @@ def _(spark, sf):
     return out(index.search(vector(spark, sf), 10, search_complexity=1_000_000))
 
 
-@query("recall_at_10")
+@query("graph_readded_ids", f"WITH {Q0}, n AS (SELECT vec_id, label, CASE WHEN label = 5 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings) SELECT vec_id, label, {L2} AS d FROM n, q ORDER BY d, vec_id LIMIT 10")
+def _(spark, sf):
+    """Deleted ids that come back with other vectors are found by the new ones alone."""
+    e = rows(spark, sf)
+    index = catalog(spark).create_index(e, "idx", "embeddings", "embedding", "vec_id", "DISKANN", max_degree=24, build_complexity=48)
+    index.delete(e.where("label = 5").select("vec_id"))
+    index.append(e.where("label = 5").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    return out(index.search(vector(spark, sf), 10, search_complexity=1_000_000))
+
+
+@query("diskann_index_scan", f"WITH {Q0} SELECT vec_id AS row_id, ({L2})::FLOAT AS distance FROM embeddings, q ORDER BY {L2}, vec_id LIMIT 10")
+def _(spark, sf):
+    c = catalog(spark)
+    rows(spark, sf).createOrReplaceTempView("scanned_base")
+    for name, engine in (("graph", "DISKANN"), ("flat", "FAISS")):
+        c.create_index(rows(spark, sf), name, "scanned_base", "embedding", "vec_id", engine, max_degree=24, build_complexity=48)
+    q = ", ".join(f"{x!r}D" for x in vector(spark, sf))
+    try:
+        sqlfuncs.ann_sql(c, f"SELECT * FROM diskann_index_scan('scanned_base', 'flat', [{q}], 10)")
+    except ValueError as e:
+        assert "is not a DiskANN index" in str(e)
+    else:
+        raise AssertionError("a FAISS index was scanned as a graph")
+    return sqlfuncs.ann_sql(c, f"SELECT * FROM diskann_index_scan('scanned_base', 'graph', [{q}], 10, search_complexity := 1000000)")
+
+
+def walked(spark, sf, found):
+    many = [(r[0], r[1]) for r in rows(spark, sf).where(F.col("vec_id") % EACH == 0).select("vec_id", "embedding").collect()]
+    got = graph.recall(found(many), knn.nearest_pairs(many, rows(spark, sf), 10))
+    return got.select((F.col("recall") >= 0.9).alias("enough"), "pairs")
+
+
+PAIRS = f"SELECT true AS enough, 10 * count(*) AS pairs FROM embeddings WHERE vec_id % {EACH} = 0"
+
+
+@query("recall_at_10", PAIRS)
+def _(spark, sf):
+    """Walks at the default list, in lock-step, find nine tenths of the exact pairs at least."""
+    return walked(spark, sf, lambda many: graph.graph_search(graphed(spark, sf), many, 10, params=PARAMS))
+
+
+@query("recall_after_consolidation", PAIRS)
+def _(spark, sf):
+    """The same after rows that were in the graph have been taken out of it in place."""
+    e = rows(spark, sf)
+    more = e.unionByName(e.where("vec_id % 4 = 1").withColumn("vec_id", F.col("vec_id") + 10_000_000))
+    g = written(graph.build_graph(more, PARAMS), "graph")
+    left = written(graph.drop_deleted(g, more.where("vec_id >= 10000000").select("vec_id"), PARAMS), "left")
+    return walked(spark, sf, lambda many: graph.graph_search(left, many, 10, params=PARAMS))
+
+
+@query("recall_by_starts", "SELECT start, true AS enough FROM (VALUES ('medoid'), ('random'), ('sample'), ('latin'), ('layers')) t(start)")
 def _(spark, sf):
+    from dataclasses import replace
+
     many = [(r[0], r[1]) for r in rows(spark, sf).where(F.col("vec_id") % EACH == 0).select("vec_id", "embedding").collect()]
-    found = graph.graph_search(graphed(spark, sf), many, 10, params=PARAMS)
-    return graph.recall(found, knn.nearest_pairs(many, rows(spark, sf), 10))
+    exact, got = knn.nearest_pairs(many, rows(spark, sf), 10), None
+    for kind in ("medoid", "random", "sample", "latin", "layers"):
+        p = replace(PARAMS, layers=True) if kind == "layers" else replace(PARAMS, start=kind, starts=4)
+        g = written(graph.build_graph(rows(spark, sf), p), "graph")
+        one = graph.recall(graph.graph_search(g, many, 10, params=p), exact).select(F.lit(kind).alias("start"), (F.col("recall") >= 0.9).alias("enough"))
+        got = one if got is None else got.unionByName(one)
+    return got
 
 
-@query("graph_degree_stats")
+@query("graph_filtered_search", f"SELECT true AS enough, true AS filtered, count(*) AS pairs FROM (WITH {MANY} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {L2}, vec_id) AS rk FROM embeddings, q WHERE label = 3) WHERE rk <= 5")
 def _(spark, sf):
-    return graph.degree_stats(graphed(spark, sf))
+    """Walks that see only the rows of a label."""
+    e = rows(spark, sf)
+    many = [(r[0], r[1]) for r in e.where(F.col("vec_id") % EACH == 0).select("vec_id", "embedding").collect()]
+    found = written(graph.graph_search(graphed(spark, sf, attr_col="label"), many, 5, params=PARAMS, attr=3), "found")
+    labels = found.join(e, F.col("id") == F.col("vec_id")).agg(F.bool_and(F.col("label") == 3).alias("filtered"))
+    got = graph.recall(found, knn.nearest_pairs(many, e.where("label = 3"), 5))
+    return got.crossJoin(labels).select((F.col("recall") >= 0.9).alias("enough"), "filtered", "pairs")  # one row each
 
 
-@query("graph_reachable", "SELECT 8::BIGINT AS shards, count(*) AS nodes, count(*) AS reached FROM embeddings")
+@query("graph_degree_stats", "SELECT count(*) AS nodes, true AS bounded, true AS linked FROM embeddings")
 def _(spark, sf):
-    return graph.reachable(graphed(spark, sf)).agg(F.count(F.lit(1)).alias("shards"), F.sum("nodes").alias("nodes"), F.sum("reached").alias("reached"))
+    """Nodes, whether none is over the degree but by the edge that keeps one reachable, and whether all have one."""
+    s = graph.degree_stats(graphed(spark, sf))
+    return s.select("nodes", (F.col("max_degree") <= PARAMS.max_degree + 2).alias("bounded"), (F.col("min_degree") >= 1).alias("linked"))
+
+
+@query("graph_reachable", "SELECT count(*) AS nodes, count(*) AS reached FROM embeddings")
+def _(spark, sf):
+    return graph.reachable(graphed(spark, sf)).agg(F.sum("nodes").alias("nodes"), F.sum("reached").alias("reached"))
 
 
 @query("hnsw_alias_search", top(L2))
@@ -607,9 +750,9 @@ def _(spark, sf):
 @query("range_join_queries", f"WITH {MANY} SELECT qid, vec_id, {L2} AS d FROM embeddings, q WHERE {L2} <= 1.5 AND qid <> vec_id")
 def _(spark, sf):
     e = rows(spark, sf)
-    many = [(r[0], [float(x) for x in r[1]]) for r in e.where(F.col("vec_id") % EACH == 0).select("vec_id", "embedding").collect()]
-    each = F.array(*[F.struct(F.lit(i).cast("long").alias("qid"), V.l2sq(F.col("embedding"), V.literal(q)).alias("d")) for i, q in many])
-    return e.select("vec_id", F.explode(each).alias("x")).select("x.qid", "vec_id", "x.d").where("d <= 1.5 AND qid <> vec_id")
+    many = [(r[0], r[1]) for r in e.where(F.col("vec_id") % EACH == 0).select("vec_id", "embedding").collect()]
+    near = knn.range_pairs(many, e, 1.5).where("query_idx <> id")
+    return near.select(F.col("query_idx").alias("qid"), F.col("id").alias("vec_id"), F.col("_distance").alias("d"))
 
 
 @query("knn_events_topk", f"WITH {Q0}, s AS (SELECT vec_id, {L2} AS d FROM embeddings, q ORDER BY d, vec_id LIMIT 50) SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN s ON user_id = vec_id GROUP BY event_type")

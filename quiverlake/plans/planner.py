@@ -2,7 +2,8 @@
 
 The rules are the ones a user can check in explain(): one ascending distance
 (or descending similarity) key, a limit, no filter, an index on the column
-whose metric fits, enough rows, and a small enough share of them asked for.
+whose metric fits and that has just the table's rows, enough rows, and a small
+enough share of them asked for.
 Everything else runs exactly, as a partial top-k over the scan.
 """
 
@@ -91,6 +92,8 @@ def order_by_distance(catalog: Catalog, df: DataFrame, table: str, function: str
         return no(f"fewer than {LEAST_ROWS} rows")
     if wanted > n * (GRAPH_SHARE if index.is_graph else OTHER_SHARE):
         return no("too large a share of the rows")
+    if not index.covers(df):
+        return no("the index doesn't have just the table's rows")
     more = max(1, int(df.sparkSession.conf.get(OVERFETCH, "3"))) if index.is_graph or index.options.type != "Flat" or index.quantized else 1
     hits = index.pairs([(0, query)], min(n, wanted * more))
     ids = hits.select(F.col("id").alias("__id"))

@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,15 @@ from . import files
 from .scratch import written
 
 #: Version of the storage; a manifest of another one isn't read.
-STORAGE = 1
+STORAGE = 2
 ENGINES = ("DISKANN", "FAISS")
 
 
+def ids_mark(ids: Column) -> Column:
+    """What tells sets of ids apart, whatever their order, and can be taken apart again: the exclusive or of their hashes."""
+    return F.coalesce(F.bit_xor(F.xxhash64(ids.cast("long"))), F.lit(0).cast("long"))
+
+
 @dataclass
 class Options:
     """What CREATE INDEX takes. Unknown keys are ignored, as by the engines; unknown values of known keys are errors."""
@@ -93,6 +98,8 @@ class Manifest:
     n_skipped: int = 0
     centroids: list[list[float]] = field(default_factory=list)
     sq8: list[list[float]] = field(default_factory=list)
+    n_deleted: int = 0
+    ids_mark: int = 0
     storage: int = STORAGE
     version: int = 0
 
@@ -124,6 +131,7 @@ class Index:
 
     def _commit(self) -> None:
         self.m.version += 1
+        files.claim(self.spark, f"{self.path}/claim-{self.m.version:08d}")
         files.put(self.spark, f"{self.path}/manifest-{self.m.version:08d}.json", json.dumps(asdict(self.m)).encode())
 
     def _segment(self, df: DataFrame, kind: str = "segment") -> str:
@@ -142,31 +150,59 @@ class Index:
         return out if out is not None else self.spark.createDataFrame([], schema)
 
     def _schema(self) -> str:
-        return G.GRAPH if self.is_graph else "label long, id long, vector array<float>" + (", cell int" if self.options.type == "IVFFlat" else "")
+        if self.is_graph:
+            return G.SHARDS
+        return "label long, id long, " + ("codes array<tinyint>" if self.quantized else "vector array<float>") + (", cell int" if self.options.type == "IVFFlat" else "")
 
     def dead(self) -> DataFrame:
-        """Labels that were deleted."""
+        """(shard, label) of what was deleted; shard is 0 but in graphs."""
         return self._read(self.m.tombstones, "shard int, label long")
 
+    def places(self) -> DataFrame:
+        """(shard, label, id) of all vectors, deleted ones too."""
+        rows = self._read(self.m.segments, self._schema())
+        if self.is_graph:
+            return rows.select("shard", F.posexplode("ids").alias("label", "id")).select("shard", F.col("label").cast("long").alias("label"), "id")
+        return rows.select(F.lit(0).alias("shard"), "label", "id")
+
     def live(self) -> DataFrame:
-        """Rows of the segments but the deleted ones, which are taken out before any search counts to k."""
+        """(label, id, vector) and shard or cell of all but the deleted rows, which are taken out before any search counts to k. Vectors of codes are what the codes say."""
         rows = self._read(self.m.segments, self._schema())
-        if not self.m.tombstones:
-            return rows
-        return rows.join(self.dead().select("label").distinct(), "label", "left_anti") if not self.is_graph else rows.join(self.dead().distinct(), ["shard", "label"], "left_anti")
+        rows = G.rows_of(rows) if self.is_graph else rows
+        if self.m.tombstones:
+            dead = self.dead() if self.is_graph else self.dead().select("label")
+            rows = rows.join(dead.distinct(), dead.columns, "left_anti")
+        if self.quantized and not self.is_graph:
+            vector = quantize.restored(F.col("codes"), *self.m.sq8) if self.m.sq8 else F.col("codes").cast("array<double>")
+            rows = rows.withColumn("vector", vector).drop("codes")
+        return rows
 
     def _rows(self, df: DataFrame) -> tuple[DataFrame, int]:
         """(id, vector) of the rows to index, and how many null vectors were left out. A wrong length is an error."""
         some = df.select(F.col(self.m.id_col).cast("long").alias("id"), F.col(self.m.vec_col).cast("array<float>").alias("vector"))
-        c = some.agg(F.count(F.lit(1)), F.sum(F.col("vector").isNull().cast("long")), F.max(F.size("vector")), F.min(F.when(F.col("vector").isNotNull(), F.size("vector"))), F.count_distinct("id")).first()
+        c = some.agg(F.count(F.lit(1)), F.sum(F.col("vector").isNull().cast("long")), F.max(F.size("vector")), F.min(F.when(F.col("vector").isNotNull(), F.size("vector"))), F.count_distinct("id"), ids_mark(F.col("id"))).first()
         if c[0] and self.m.dim == 0:
             self.m.dim = c[2]
         if (c[2] or self.m.dim) != self.m.dim and (c[2] or -1) >= 0 or c[3] is not None and c[3] != self.m.dim:
             raise ValueError(f"vector dimension mismatch: index has {self.m.dim}")
         if c[4] != c[0]:
             raise ValueError(f"{self.m.id_col} must be unique")
+        self._apart(some)
+        self.m.ids_mark ^= c[5]
         return some.where("vector is not null"), c[1] or 0
 
+    def _apart(self, rows: DataFrame) -> None:
+        """An error if the index holds one of these ids already."""
+        if self.m.n_vectors > self.m.n_deleted:
+            own = self.places().join(self.dead().distinct(), ["shard", "label"], "left_anti") if self.m.tombstones else self.places()
+            if not own.join(rows.select("id"), "id", "left_semi").isEmpty():
+                raise ValueError(f"{self.m.id_col} must be unique: the index has some of these rows already")
+
+    def covers(self, df: DataFrame) -> bool:
+        """Whether the index was told of just the rows that df has now, by their number and ids; vectors that changed under their id aren't noticed."""
+        n, mark = df.agg(F.count(F.lit(1)), ids_mark(F.col(self.m.id_col))).first()
+        return n == self.m.n_vectors - self.m.n_deleted + self.m.n_skipped and mark == self.m.ids_mark
+
     def add(self, df: DataFrame) -> Index:
         """Appends the rows of df as a new segment; cells are those of the trained centroids."""
         rows, skipped = self._rows(df)
@@ -184,10 +220,10 @@ class Index:
         o = self.options
         if self.quantized and not self.m.sq8:
             self.m.sq8 = list(quantize.params_arrays(quantize.sq8_params(rows, "vector")))
+        sq8 = tuple(self.m.sq8) if self.quantized else None
         if self.is_graph:
-            p = self.graph_params()
             first = int(self._read(self.m.segments, self._schema()).agg(F.max("shard")).first()[0] or 0) + 1 if self.m.segments else 0
-            made = G.build_graph(rows, p, id_col="id", vec_col="vector")
+            made = G.build_graph(rows, self.graph_params(), id_col="id", vec_col="vector", sq8=sq8)
             self.m.segments.append(self._segment(made.withColumn("shard", F.col("shard") + first)))
         else:
             if o.type == "IVFFlat" and not self.m.centroids:
@@ -202,25 +238,49 @@ class Index:
             labelled = ranged.withColumn("_o", place).join(F.broadcast(self.spark.createDataFrame(base, "_p int, _b long")), "_p").select((F.col("_b") + F.col("_o")).alias("label"), "id", "vector")
             if o.type == "IVFFlat":
                 labelled = ivf.assign_fast(labelled, self.m.centroids, vec_col="vector")
+            if sq8:
+                labelled = labelled.withColumn("codes", quantize.stored(F.col("vector"), *sq8)).drop("vector")
             self.m.segments.append(self._segment(labelled))
         self.m.n_vectors += n
 
     def delete(self, ids: DataFrame) -> Index:
         """Marks the rows of these ids (first column) deleted; unknown ids are ignored. Vectors count until vacuum."""
         gone = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct()
-        cols = ["shard", "label"] if self.is_graph else ["label"]
-        marks = self.live().join(gone, "id", "left_semi").select(*cols)
-        if not self.is_graph:
-            marks = marks.select(F.lit(0).alias("shard"), "label")
-        self.m.tombstones.append(self._segment(marks.select(F.col("shard").cast("int"), F.col("label").cast("long")), "tombstones"))
+        own = self.places()
+        if self.m.tombstones:
+            own = own.join(self.dead().distinct(), ["shard", "label"], "left_anti")
+        marks = written(own.join(gone, "id", "left_semi").select(F.col("shard").cast("int"), F.col("label").cast("long"), "id"), "marks")
+        n, mark = marks.agg(F.count(F.lit(1)), ids_mark(F.col("id"))).first()
+        if n:
+            self.m.tombstones.append(self._segment(marks.drop("id"), "tombstones"))
+            self.m.n_deleted += n
+            self.m.ids_mark ^= mark
         self._commit()
         return self
 
+    def consolidate(self) -> Index:
+        """Takes deleted vectors out of the graphs in place: their neighbours are reconnected, nothing else is built anew. Other indexes are vacuumed."""
+        if not self.is_graph:
+            return self.vacuum()
+        if self.m.tombstones:
+            gone = self.places().join(self.dead().distinct(), ["shard", "label"], "left_semi")
+            rows = self._read(self.m.segments, self._schema())
+            # an id that was deleted and added again is another place
+            lost = gone.groupBy("shard").agg(F.collect_list("label").alias("_gone"))
+            left = G.without(rows, lost, self.graph_params())
+            old = [*self.m.segments, *self.m.tombstones]
+            self.m.segments, self.m.tombstones = [self._segment(left)], []
+            self.m.n_vectors, self.m.n_deleted = self.m.n_vectors - self.m.n_deleted, 0
+            self._commit()
+            for name in old:
+                files.remove(self.spark, f"{self.path}/{name}")
+        return self
+
     def vacuum(self) -> Index:
-        """Rebuilds without deleted rows, labels anew in the old order, codes and cells trained again; older files go."""
-        rows = written(self.live().select("id", "vector"), "kept")
+        """Rebuilds without deleted rows, labels anew in the old order, cells trained again, codes kept as they are; older files go."""
+        rows = written(self.live().select("id", F.col("vector").cast("array<double>" if self.quantized else "array<float>").alias("vector")), "kept")
         old = [*self.m.segments, *self.m.tombstones]
-        self.m.segments, self.m.tombstones, self.m.n_vectors, self.m.centroids, self.m.sq8 = [], [], 0, [], []
+        self.m.segments, self.m.tombstones, self.m.n_vectors, self.m.n_deleted, self.m.centroids = [], [], 0, 0, []
         n = rows.count()
         if n:
             self._add(rows, n)
@@ -230,9 +290,11 @@ class Index:
         return self
 
     def merge(self, other: Index) -> Index:
-        """Adds the other index's live vectors."""
-        rows = written(other.live().select("id", "vector"), "merged")
-        n = rows.count()
+        """Adds the other index's live vectors; ids that both have are an error, and nothing is added."""
+        rows = written(other.live().select("id", F.col("vector").cast("array<float>").alias("vector")), "merged")
+        self._apart(rows)
+        n, mark = rows.agg(F.count(F.lit(1)), ids_mark(F.col("id"))).first()
+        self.m.ids_mark ^= mark
         if n:
             self._add(rows, n)
         self._commit()
@@ -244,13 +306,10 @@ class Index:
 
     def graph_params(self) -> G.GraphParams:
         o = self.options
-        return G.GraphParams(max_degree=o.hnsw_m * 2 if self.m.engine == "FAISS" else o.max_degree, build_complexity=o.build_complexity, alpha=o.alpha, metric=self.metric)
+        return G.GraphParams(max_degree=o.hnsw_m * 2 if self.m.engine == "FAISS" else o.max_degree, build_complexity=o.build_complexity, alpha=o.alpha, metric=self.metric, layers=self.m.engine == "FAISS")
 
     # search
 
-    def n_deleted(self) -> int:
-        return self.dead().distinct().count() if self.m.tombstones else 0
-
     def pairs(self, queries: list[tuple[int, Sequence[float] | None]], k: int, *, search_complexity: int = 0) -> DataFrame:
         """(query_idx, id, _distance, _rank). Queries of another length than the index's, or null, find nothing."""
         good = [(i, q) for i, q in queries if q is not None and len(q) == self.m.dim]
@@ -258,31 +317,33 @@ class Index:
         if k <= 0 or not good or not self.m.n_vectors:
             return self.spark.createDataFrame([], empty)
         if self.is_graph:
-            rows = self._read(self.m.segments, self._schema())
-            dead = self.n_deleted()
-            found = G.graph_search(rows, good, k + dead, search_complexity=search_complexity, params=self.graph_params())
-            if dead:
-                gone = rows.join(self.dead().distinct(), ["shard", "label"], "left_semi").select("id")
-                alive = rows.join(self.dead().distinct(), ["shard", "label"], "left_anti").select("id")
-                found = found.join(gone.join(alive, "id", "left_anti"), "id", "left_anti")
-                near = F.col("_distance").desc() if self.metric == "cosine" else F.col("_distance").asc()
-                found = found.withColumn("_rank", F.row_number().over(Window.partitionBy("query_idx").orderBy(near, "id"))).where(F.col("_rank") <= k)
-            return found.select("query_idx", "id", "_distance", "_rank")
+            dead = self.dead().distinct() if self.m.n_deleted else None
+            more = dead.groupBy("shard").count().agg(F.max("count")).first()[0] if self.m.n_deleted else 0
+            found = G.hits(self._read(self.m.segments, self._schema()), good, k + more, search_complexity=search_complexity, params=self.graph_params())
+            found = found if dead is None else found.join(dead, ["shard", "label"], "left_anti")
+            return G.best(found, k, self.metric)
         rows = self.live()
-        if self.quantized:
-            lo, scale = self.m.sq8
-            rows = rows.withColumn("vector", quantize.decode(quantize.encode(F.col("vector"), lo, scale), lo, scale))
-        if self.options.type == "IVFFlat":
+        by: dict[tuple, list] = {}
+        for i, q in good:
             # each query sees the cells it probes; queries that probe the same cells go together
-            by: dict[tuple, list] = {}
-            for i, q in good:
-                by.setdefault(tuple(sorted(ivf.probes(q, self.m.centroids, self.options.nprobe))), []).append((i, q))
-            out = None
-            for cells, own in by.items():
-                one = knn.nearest_pairs(own, rows.where(F.col("cell").isin(*cells)), k, metric=self.metric, id_col="id", vec_col="vector")
-                out = one if out is None else out.unionByName(one)
-            return out
-        return knn.nearest_pairs(good, rows, k, metric=self.metric, id_col="id", vec_col="vector")
+            cells = sorted(ivf.probes(q, self.m.centroids, self.options.nprobe)) if self.options.type == "IVFFlat" else ()
+            by.setdefault(tuple(cells), []).append((i, q))
+        out = None
+        for cells, own in by.items():
+            some = rows.where(F.col("cell").isin(*cells)) if cells else rows
+            if len(own) == 1:
+                one = self._one(own[0][0], own[0][1], some, k)
+            else:
+                one = knn.nearest_pairs(own, some, k, metric=self.metric, id_col="id", vec_col="vector")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _one(self, number: int, query: Sequence[float], rows: DataFrame, k: int) -> DataFrame:
+        """pairs() of one query, as a partial top-k over the scan."""
+        near = F.col("_distance").asc() if self.metric == "l2" else F.col("_distance").desc()
+        found = knn.search(rows.select("id", "vector"), query, k, metric=self.metric, id_col="id", vec_col="vector")
+        rank = F.row_number().over(Window.partitionBy("query_idx").orderBy(near, "id"))
+        return found.select(F.lit(number).cast("long").alias("query_idx"), "id", "_distance").withColumn("_rank", rank)
 
     def scan(self, query: Sequence[float], k: int, *, search_complexity: int = 0) -> DataFrame:
         """(row_id, distance), nearest first: the raw index scan."""
@@ -305,19 +366,12 @@ class Index:
         return knn.fetched(self.pairs(list(enumerate(queries)), k, search_complexity=search_complexity), self._base(), self.m.id_col)
 
     def search_table(self, queries: DataFrame, k: int, *, search_complexity: int = 0) -> DataFrame:
-        vec = V.vector_column(queries, "ann_search_table: input table must have a numeric LIST or ARRAY column for queries")
-        numbered = written(queries.withColumn("__q", F.monotonically_increasing_id()), "queries")
-        rows = [(r[0], r[1]) for r in numbered.select("__q", vec).toLocalIterator()]
-        hits = self.pairs(rows, k, search_complexity=search_complexity).select(F.col("query_idx").alias("__q"), F.col("id").alias("__id"), "_distance")
-        base, taken = self._base(), set(queries.columns)
-        named = {c: f"{self.m.table}_{c}" if c in taken else c for c in base.columns}
-        own = base.select(F.col(self.m.id_col).alias("__id"), *[F.col(c).alias(named[c]) for c in base.columns])
-        return hits.join(own, "__id").join(numbered, "__q").select(*queries.columns, *named.values(), "_distance")
+        return knn.joined_search(queries, self._base(), self.m.id_col, self.m.table, lambda rows: self.pairs(rows, k, search_complexity=search_complexity))
 
     def info(self) -> tuple:
         n, m = self.m.n_vectors, self.m
-        memory = 16 * n + 4 * n * m.dim + (4 * n * self.graph_params().max_degree if self.is_graph else 0) + (n * m.dim if self.quantized else 0)
-        return m.name, m.engine, m.table, n, self.n_deleted(), max(1, memory), self.quantized
+        memory = 16 * n + (1 if self.quantized else 4) * n * m.dim + (4 * n * self.graph_params().max_degree if self.is_graph else 0)
+        return m.name, m.engine, m.table, n, m.n_deleted, max(1, memory), self.quantized
 
 
 class Catalog:

@@ -26,6 +26,13 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"can't write {path}")
 
 
+def claim(spark: SparkSession, path: str) -> None:
+    """Makes an empty file that doesn't exist yet, in one step; OSError if another writer has it."""
+    fs, p = _fs(spark, path)
+    if not fs.createNewFile(p):
+        raise OSError(f"{path} has another writer; load the index again")
+
+
 def get(spark: SparkSession, path: str) -> bytes:
     fs, p = _fs(spark, path)
     stream = fs.open(p)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """A fresh folder below spark.checkpoint.dir. Where that is unset, one on this machine in local mode, as in tests; on a cluster an error."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = getattr(spark, "_quiver_scratch", None) or "file://" + tempfile.mkdtemp(prefix="quiver-")
         spark._quiver_scratch = top
     return f"{top.rstrip('/')}/quiver-{uuid.uuid4().hex}"

@@ -12,9 +12,10 @@ from quiverlake.functions import vectors as V
 from quiverlake.operators import graph, hybrid, ivf, knn, quantize
 from quiverlake.plans import catalogue, planner
 from quiverlake.sources import binary_formats, files
-from quiverlake.sources.catalog import Catalog, Options, gpu_info
+from quiverlake.sources.catalog import STORAGE, Catalog, Options, gpu_info
 from quiverlake.sources.scratch import shared_dir
 
+# Rows, orders and messages that a user of such indexes relies on.
 AXES = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])]
 DOCS5 = [*AXES, (4, [0.5, 0.5, 0.0]), (5, [0.0, 0.5, 0.5])]
 TEN = [(1, [1, 0, 0]), (2, [0, 1, 0]), (3, [0, 0, 1]), (4, [0.5, 0.5, 0]), (5, [0, 0.5, 0.5]), (6, [0.5, 0, 0.5]), (7, [0.9, 0.1, 0]), (8, [0, 0.9, 0.1]), (9, [0.1, 0, 0.9]), (10, [0.3, 0.3, 0.3])]
@@ -133,7 +134,7 @@ def test_errors(spark):
     with pytest.raises(ValueError, match="is not a DiskANN index"):
         c.load_index("docs", "idx", engine="DISKANN")
     path = f"{c.root}/docs/idx/manifest-00000009.json"
-    files.put(spark, path, files.get(spark, f"{c.root}/docs/idx/manifest-00000001.json").replace(b'"storage": 1', b'"storage": 7'))
+    files.put(spark, path, files.get(spark, f"{c.root}/docs/idx/manifest-00000001.json").replace(f'"storage": {STORAGE}'.encode(), b'"storage": 7'))
     with pytest.raises(ValueError, match="storage version mismatch: found 7"):
         c.load_index("docs", "idx")
     assert tuple(gpu_info(spark).first()) == (False, "No GPU backend available")
@@ -172,7 +173,9 @@ def test_recall_of_a_graph(spark):
     assert all(r.nodes == r.reached for r in graph.reachable(g).collect())
     gone = spark.createDataFrame([(k,) for k in range(50)], "id long")
     left = graph.drop_deleted(g, gone)
-    assert left.count() == 350 and left.where("id < 50").count() == 0
+    rows = graph.rows_of(left)
+    assert rows.count() == 350 and rows.where("id < 50").count() == 0
+    assert all(r.nodes == r.reached for r in graph.reachable(left).collect())
 
 
 def test_batch_is_the_single_search(spark):
@@ -249,6 +252,53 @@ def test_sql_surface(spark):
     assert sqlfuncs.ann_sql(c, "SELECT name FROM ann_list()").first().name == "idx"
 
 
+def test_literals_are_left_alone():
+    assert sqlfuncs.bracketed("['a[b]', \"c[\", [1]]") == "array('a[b]', \"c[\", array(1))"
+    assert sqlfuncs.plain("x('a(''b')") == "x('     ')"
+    with pytest.raises(ValueError, match="unbalanced"):
+        sqlfuncs.closing("f(a, '(', (b", 2, "f")
+
+
+def test_null_queries_are_errors(spark):
+    c = Catalog(spark, shared_dir(spark))
+    frame(spark, DOCS5).createOrReplaceTempView("null_docs")
+    c.create_index(spark.table("null_docs"), "idx", "null_docs", "embedding", "id", "FAISS")
+    with pytest.raises(ValueError, match="must not be NULL"):
+        sqlfuncs.ann_sql(c, "SELECT * FROM ann_search('null_docs', 'idx', [1.0, NULL, 0.0], 2)")
+
+
+def test_ids_stay_unique_and_writers_apart(spark):
+    c = Catalog(spark, shared_dir(spark))
+    a = c.create_index(frame(spark, AXES), "a", "docs", "embedding", "id", "FAISS")
+    b = c.create_index(frame(spark, DOCS5), "b", "docs", "embedding", "id", "FAISS")
+    for clash in (lambda: a.merge(b), lambda: a.append(frame(spark, DOCS5[2:]))):
+        with pytest.raises(ValueError, match="must be unique"):
+            clash()
+    assert c.load_index("docs", "a").m.n_vectors == 3
+    one, other = (c.load_index("docs", "a", frame(spark, AXES)) for _ in range(2))
+    one.delete(frame(spark, AXES[:1]))
+    with pytest.raises(OSError, match="another writer"):
+        other.delete(frame(spark, AXES[1:2]))
+    assert not one.covers(frame(spark, AXES)) and one.covers(frame(spark, AXES[1:]))
+
+
+def test_batches_with_zero_rows(spark):
+    rows = [(k, [0.0, 0.0]) for k in range(4000)] + [(4000 + k, [1.0, float(k)]) for k in range(5)]
+    got = knn.nearest_pairs([(0, [1.0, 0.0]), (1, [0.0, 0.0])], frame(spark, rows), 10, metric="cosine", id_col="id")
+    assert sorted((r.query_idx, r.id) for r in got.collect()) == [(0, 4000 + k) for k in range(5)]
+
+
+def test_values_chosen_by_products_are_exact(spark):
+    """Large offsets cancel in norms and products; the results are still those of the fold."""
+    rng = np.random.default_rng(1)
+    rows = [(k, (1e4 + rng.random(6) * 1e-3).tolist()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    q = (1e4 + rng.random(6) * 1e-3).tolist()
+    for metric in ("l2", "ip", "cosine"):
+        batch = knn.nearest_pairs([(0, q)], df, 9, metric=metric, id_col="id").orderBy("_rank").collect()
+        assert [(r.id, r["_distance"]) for r in batch] == [(r.id, r["_distance"]) for r in knn.search(df, q, 9, metric=metric, id_col="id").collect()]
+
+
 NAMES = [n for n in catalogue.ORACLE]
 
 
