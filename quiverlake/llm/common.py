@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors see; a temporary one where it is unset, as in tests."""
+    """A fresh folder below spark.checkpoint.dir, which all executors see. Where that is unset, one on this machine in local mode, as in tests; on a cluster an error."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = getattr(spark, "_quiverlake_shared", None) or "file://" + tempfile.mkdtemp(prefix="quiverlake-")
         spark._quiverlake_shared = top
     return f"{top.rstrip('/')}/quiverlake-{uuid.uuid4().hex}"
@@ -33,6 +36,14 @@ def written(df: DataFrame, tag: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives what a task has freed back to the machine: its worker lives on, and the next task's share of memory is no larger for it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # not on every C library
+        trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,6 +71,7 @@ def fold_rows(df: DataFrame, schema: str, one: Callable[[Iterator[dict]], Iterat
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -27,8 +27,8 @@ from .common import fold_rows, shared_dir, table
 
 #: Ids of a shard at least, if its partition has them; a pair this rare stays; the id that ends each document.
 SHARD_IDS, RARE, END = 1 << 18, 4, 0
-#: Pieces whose ids a worker keeps. A matter of memory, never of results.
-KEEP = 1_000_000
+#: Characters that are encoded together, about; bytes of a piece that is compared as numbers, and of a word that merges with others at once.
+TEXT_CHARS, WIDE, LONG = 4_000_000, 24, 60
 #: Signs that are no white space in any library: a lone space or line feed between two of them is where the splitter always cuts.
 SAFE = "!-~\u00a1-\u167f"
 CUT = re.compile(f"(?<=[{SAFE}])(?=[ \n][{SAFE}])")
@@ -36,18 +36,97 @@ REGULAR = re.compile(f"\n?[{SAFE}](?:.*[{SAFE}])?", re.S)
 #: Pieces of visible ASCII and the letters of Latin-1, the splitter's rule on them, and the signs that stand for their bytes. Fixed values.
 PLAIN = re.compile(r"[ \n]?[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n")
-SIGNS = {c: "".join(byte_signs()[b] for b in chr(c).encode()) for c in [10, 32, *range(128, 256)]}
+#: Kinds of bytes: letters, digits, other visible signs but apostrophes, and second bytes of Latin-1 letters.
+KINDS = np.zeros(256, np.int8)
+KINDS[33:127], KINDS[48:58], KINDS[39] = 3, 2, 0
+KINDS[65:91] = KINDS[97:123] = 1
+KINDS[0x80:0xC0], KINDS[[0x97, 0xB7]] = 4, 0
 #: A round takes pairs down to the most frequent one's count by this; bits of a round's table of pairs, and an odd factor that scatters them.
 SPAN, BITS, HASH = 16, 19, np.int64(0x1E3779B97F4A7C15)
-MAGIC = b"QRPG1\0\0\0"
-
-
-def little(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+MAGIC = b"QRPG2\0\0\0"
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class Merges:
+    """Byte-level merges of many words side by side: each round merges every word's first pair of least rank, until no word has a pair."""
+
+    NONE = 1 << 40
+
+    def __init__(self, model: dict) -> None:
+        ids, signs = model["vocab"], byte_signs()
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.bytes = np.array([ids.get(signs[b], -1) for b in range(256)], np.int64)
+        key = np.array([ids[a] << 32 | ids[b] for a, b in pairs] or [-1], np.int64)
+        order = np.argsort(key, kind="stable")
+        first = np.concatenate([[True], np.diff(key[order]) > 0])  # of a pair that stands twice the smaller rank
+        self.key, self.rank = key[order][first], order[first]
+        self.into = np.array([ids[a + b] for a, b in pairs] or [-1], np.int64)
+        one, two = np.divmod(np.arange(1 << 16), 256)
+        self._bytes = self.ranks(self.bytes[one], self.bytes[two])
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], self.NONE)
+
+    def words(self, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after the other, number of ids of each) of words of n bytes each that stand side by side in data; none is empty."""
+        sym = self.bytes[data]
+        word, start = np.arange(len(n)), np.cumsum(n) - n
+        size = np.zeros(len(n), np.int64)
+        if not len(n):
+            return sym, size
+        ready: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(sym), self.NONE)
+        rank[:-1] = self._bytes[data[:-1].astype(np.int64) << 8 | data[1:]]
+        rank[start + n - 1] = self.NONE  # a word's last symbol has no pair
+        while len(word):
+            best = np.minimum.reduceat(rank, start)
+            done = best == self.NONE
+            if done.any():
+                size[word[done]] = n[done]
+                ready.append((word[done], sym[spread(start[done], n[done])]))
+                left = spread(start[~done], n[~done])
+                sym, rank, best, word, n = sym[left], rank[left], best[~done], word[~done], n[~done]
+                start = np.cumsum(n) - n
+                if not len(word):
+                    break
+            of = np.repeat(np.arange(len(n)), n)
+            hit = np.flatnonzero(rank == best[of])
+            owner = of[hit]
+            hit = hit[np.concatenate([[True], owner[1:] != owner[:-1]])]  # the first of each word
+            sym[hit] = self.into[best]
+            stay = np.ones(len(sym), bool)
+            stay[hit + 1] = False
+            last = rank[hit + 1] == self.NONE
+            last &= hit + 2 == start + n  # the merged symbol is its word's last now
+            sym, rank = sym[stay], rank[stay]
+            n = n - 1
+            start = np.cumsum(n) - n
+            at = hit - np.arange(len(hit))  # one symbol has gone from each word before
+            after = at[~last]
+            rank[at[last]] = self.NONE
+            rank[after] = self.ranks(sym[after], sym[after + 1])
+            before = at[at > start] - 1
+            rank[before] = self.ranks(sym[before], sym[before + 1])
+        flat = np.empty(int(size.sum()), np.int64)
+        begin = np.cumsum(size) - size
+        for w, ids in ready:
+            flat[spread(begin[w], size[w])] = ids
+        return flat, size
 
 
 class PieceEncoder:
-    """Ids as little-endian unsigned 32-bit integers, as the tokenizers library gives them for whole texts."""
+    """Ids as little-endian unsigned 32-bit integers, as the tokenizers library gives them for whole texts.
+
+    A text is cut where the splitter always cuts. The distinct pieces of many
+    texts are encoded once, words of visible ASCII and Latin-1 letters by Merges and
+    all else by the library, and each text's ids are put together from them.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -55,48 +134,145 @@ class PieceEncoder:
         self._own = Tokenizer.from_file(path)
         self._own.no_padding()
         self._own.no_truncation()
-        self._model = self._own.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        rule = spec["pre_tokenizer"] or {}
+        rule, model = spec["pre_tokenizer"] or {}, spec["model"]
         self._plain = spec["normalizer"] is None and rule.get("type") == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"]
+        self._plain &= model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self._merges = Merges(model) if self._plain else None
+        self._plain &= self._merges is not None and bool((self._merges.bytes >= 0).all())
         self._special = [t.content for t in self._own.get_added_tokens_decoder().values()]
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of what lies between two places where the splitter always cuts."""
-        if self._plain and PLAIN.fullmatch(piece):
-            tokenize = self._model.tokenize
-            return little([t.id for w in PLAIN_WORDS.findall(piece) for t in tokenize(w.translate(SIGNS))])
-        return self._ids([piece])[0]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _visible(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which pieces are of visible ASCII without apostrophes and of Latin-1 letters alone, ids of these with a space before, number of ids of each)."""
+        data = raw[spread(starts, size)]
+        kind = KINDS[data]
+        first = np.cumsum(size) - size
+        lead, tail = data == 0xC3, kind == 4
+        pair = np.zeros(len(data), bool)
+        pair[1:] = lead[:-1]
+        bad = (kind == 0) & ~lead | (lead & ~np.concatenate([tail[1:], [False]])) | (tail & ~pair)
+        good = np.bincount(np.repeat(np.arange(len(size)), size), bad, len(size)) == 0
+        left = np.repeat(good, size)
+        data, kind, size = data[left], np.where(kind[left] >= 4, 1, kind[left]), size[good]
+        kind[data == 0xC3] = 1
+        # words are runs of a kind, and a piece's first one has the space
+        at = np.cumsum(size) - size
+        new = np.concatenate([[True], kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, bool)
+        new[at] = True
+        spaced = np.full(len(data) + len(at), 32, np.uint8)
+        spaced[np.arange(len(data)) + np.repeat(np.arange(1, len(at) + 1), size)] = data
+        begin = np.flatnonzero(new)
+        owner = np.searchsorted(at, begin, "right") - 1
+        begin = begin + owner + (begin != at[owner])  # in spaced, the space itself for a first word
+        ids, many = self._merges.words(spaced, np.diff(np.concatenate([begin, [len(spaced)]])))
+        return good, ids, np.bincount(owner, many, len(at)).astype(np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, one after the other, number of ids of each)."""
+        number: dict[bytes, int] = {}
+        of, many, other = [], [], []
+        for k, p in enumerate(pieces):
+            if self._plain and len(p) <= LONG and PLAIN.fullmatch(p):
+                words = PLAIN_WORDS.findall(p)
+                many.append(len(words))
+                of += [number.setdefault(w.encode(), len(number)) for w in words]
+            else:
+                many.append(1)
+                of.append(-1)
+                other.append(k)
+        flat, size = self._merges.words(np.frombuffer(b"".join(number), np.uint8), np.array([len(w) for w in number], np.int64)) if number else (np.empty(0, np.int64),) * 2
+        apart = self._ids([pieces[k] for k in other])
+        index = np.array(of, np.int64)
+        index[index < 0] = len(size) + np.arange(len(other))
+        flat = np.concatenate([flat, *apart])
+        size = np.concatenate([size, np.array([len(x) for x in apart], np.int64)])
+        begin = np.cumsum(size) - size
+        total = np.bincount(np.repeat(np.arange(len(pieces)), many), size[index], len(pieces)).astype(np.int64)
+        return flat[spread(begin[index], size[index])], total
+
+    @staticmethod
+    def _distinct(raw: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each place of up to WIDE bytes the place of an equal one, the same for all that are equal; -1 for longer and empty ones."""
+        data = raw + bytes(WIDE)
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        keys = [eight[starts + at] & mask[np.clip(size - at, 0, 8)] for at in range(0, WIDE, 8)]
+        keys.append(size.astype(np.uint64))
+        mixed = keys[0] * np.uint64(0x9E3779B97F4A7C15)
+        for k in keys[1:]:
+            mixed = (mixed ^ mixed >> np.uint64(29) ^ k) * np.uint64(0xBF58476D1CE4E5B9)
+        out = np.full(len(starts), -1, np.int64)
+        todo = np.flatnonzero((size > 0) & (size <= WIDE))
+        bits = (4 * len(todo) + 1).bit_length()
+        table = np.empty(1 << bits, np.int64)
+        while len(todo):  # a slot stands for one of its pieces; another that falls into it waits for the next round
+            slot = mixed[todo] >> np.uint64(64 - bits)
+            table[slot] = todo
+            first = table[slot]
+            same = np.logical_and.reduce([k[first] == k[todo] for k in keys])
+            out[todo[same]] = first[same]
+            todo = todo[~same]
+            mixed[todo] = (mixed[todo] ^ mixed[todo] >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) + np.uint64(1)
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        pieces: dict[str, int] = {}
+        row: list[np.ndarray | None] = [None] * len(texts)
+        put = lambda p: pieces.setdefault(p, len(pieces))
+        some = []
+        for k, t in enumerate(texts):
+            if any(s in t for s in self._special):
+                continue
+            head, _, tail = (cut := t.replace("\n", " \n")).partition(" ")
+            if tail and head and REGULAR.fullmatch(head[-1]):
+                some.append((k, head, cut[len(head) + 1 :]))
+            else:
+                row[k] = np.array([-2 - put(p) for p in CUT.split(t)] if t else [], np.int64)
+        seen = [np.empty(0, np.int64)] * 2
+        if some:
+            raw = " ".join(x[2] for x in some).encode()
+            space = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+            starts, ends = np.concatenate([[0], space + 1]), np.concatenate([space, [len(raw)]])
+            same = self._distinct(raw, starts, ends - starts)
+            own = np.flatnonzero(same == np.arange(len(same)))
+            if self._plain:
+                good, *seen = self._visible(np.frombuffer(raw, np.uint8), starts[own], (ends - starts)[own])
+            else:
+                good = np.zeros(len(own), bool)
+            # places of pieces in the end: those that _visible knows, then the others, counted down from -2; -1 for what can't be cut there
+            index = np.full(len(starts), -1, np.int64)
+            index[own[good]] = np.arange(int(good.sum()))
+            for at in [*own[~good].tolist(), *np.flatnonzero((same < 0) & (ends > starts)).tolist()]:
+                p = raw[starts[at] : ends[at]].decode()
+                if REGULAR.fullmatch(p):
+                    index[at] = -2 - put(p if p[0] == "\n" else " " + p)
+            short = same >= 0
+            index[short] = index[same[short]]
+            after = np.cumsum([x[2].count(" ") + 1 for x in some])
+            for (k, head, _), a, z in zip(some, [0, *after.tolist()], after.tolist()):
+                if (index[a:z] == -1).any():
+                    row[k] = np.array([-2 - put(p) for p in CUT.split(texts[k])], np.int64)
+                else:
+                    row[k] = np.concatenate([[-2 - put(head)], index[a:z]])
+        flat, size = (np.concatenate(x) for x in zip(seen, self._pieces(list(pieces))))
+        begin = np.cumsum(size) - size
+        order = np.concatenate([r for r in row if r is not None] or [np.empty(0, np.int64)]).astype(np.int64)
+        order = np.where(order < 0, len(seen[1]) - 2 - order, order)
+        ids = flat[spread(begin[order], size[order])].astype("<u4").tobytes()
+        upto, out, at, i = np.concatenate([[0], np.cumsum(size[order])]), [], 0, 0
+        for k, r in enumerate(row):
+            if r is None:
+                out.append(self._ids([texts[k]])[0].astype("<u4").tobytes())
+            else:
+                out.append(ids[4 * at : 4 * (at := int(upto[(i := i + len(r))]))])
+        return out
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self._special):
-            return self._ids([text])[0]
-        first, *parts = text.replace("\n", " \n").split(" ")
-        new, out = self._new.get, []
-        if parts and first and REGULAR.fullmatch(first[-1]):
-            for p in parts:
-                got = new(p)
-                if got is None:
-                    if not REGULAR.fullmatch(p):
-                        break
-                    # pieces are kept without the space before them
-                    got = self._old.get(p)
-                    if got is None:
-                        got = self._piece(p if p[0] == "\n" else " " + p)
-                    if len(self._new) >= KEEP // 2:
-                        self._old, self._new = self._new, {}
-                        new = self._new.get
-                    self._new[p] = got
-                out.append(got)
-            else:
-                return self._piece(first) + b"".join(out)
-        return b"".join([self._piece(p) for p in CUT.split(text)]) if text else b""
+        return self.encode_many([text])[0]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -111,46 +287,70 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def encoded(e: PieceEncoder, batches):
+    """(doc_id, ids) of all rows, encoded some TEXT_CHARS characters at a time."""
+    ids, texts, chars = [], [], 0
+    for b in batches:
+        for doc_id, text in zip(b["doc_id"], b["text"]):
+            ids.append(doc_id)
+            texts.append(text or "")
+            chars += len(texts[-1])
+            if chars >= TEXT_CHARS:
+                yield from zip(ids, e.encode_many(texts))
+                ids, texts, chars = [], [], 0
+    yield from zip(ids, e.encode_many(texts))
+
+
 def repair(ids: np.ndarray, ends: np.ndarray, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(sequence, rules as (left, right), places in the sequence after each document, first nonterminal) of ids whose documents end after `ends`.
 
     No pair reaches over a document's end. A round takes the pairs at least a
     SPAN-th as frequent as the most frequent one; of overlapping places every
-    second one is replaced.
+    second one is replaced. A pair's count never rises after its symbols are
+    there, so only places of frequent pairs and those beside new symbols are
+    looked at again.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     first = symbols = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    bins = np.zeros(1 << BITS, np.int64)
-    while len(seq) > 1:
-        pair = seq[:-1] << 32 | seq[1:]
-        bin_ = ((pair * HASH) >> np.int64(63 - BITS)) & np.int64((1 << BITS) - 1)
+    bins, factor = np.zeros(1 << BITS, np.int64), HASH
+    some = np.flatnonzero(~last[:-1])
+    while len(some):
+        pair = seq[some].astype(np.int64) << 32 | seq[some + 1]
+        bin_ = ((pair * factor) >> np.int64(63 - BITS)) & np.int64((1 << BITS) - 1)
         # a bin stands for one of its pairs; another that falls into it waits for a later round
         bins[bin_] = pair
         own = bins[bin_] == pair
-        own &= ~last[:-1]
         counts = np.bincount(bin_[own], minlength=1 << BITS)
-        top = int(counts.max())
+        count = np.where(own, counts[bin_], 0)
+        top = int(count.max())
         if top < rare:
-            break
-        place = np.flatnonzero(own & (counts >= max(rare, top // SPAN))[bin_])
+            some, factor = some[~own], np.int64(int(factor) * int(HASH) % (1 << 62) | 1)
+            continue
+        take = count >= max(rare, top // SPAN)
+        place, used = some[take], bin_[take]
         # in a run of neighbouring places only every second one can be taken
         begin = np.ones(len(place), bool)
         begin[1:] = np.diff(place) > 1
         offset = np.arange(len(place)) - np.maximum.accumulate(np.where(begin, np.arange(len(place)), 0))
-        place = place[offset % 2 == 0]
-        used = bin_[place]
-        chosen = np.flatnonzero(np.bincount(used, minlength=1 << BITS))
+        place, used = place[offset % 2 == 0], used[offset % 2 == 0]
+        met = np.zeros(1 << BITS, bool)
+        met[used] = True
+        chosen = np.flatnonzero(met)
         counts[chosen] = np.arange(len(chosen))
         rules.append(np.stack([bins[chosen] >> 32, bins[chosen] & 0xFFFFFFFF], 1))
         seq[place] = symbols + counts[used]
         symbols += len(chosen)
         last[place] = last[place + 1]
-        stay = np.ones(len(seq), bool)
+        stay, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         stay[place + 1] = False
-        seq, last = seq[stay], last[stay]
+        look[some[~own | (count >= rare)]] = True
+        look[place] = True
+        look[np.maximum(place - 1, 0)] = True
+        seq, last, look = seq[stay], last[stay], look[stay]
+        some = np.flatnonzero(look[:-1] & ~last[:-1])
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), np.flatnonzero(last) + 1, first
 
 
@@ -184,7 +384,7 @@ def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
     head = MAGIC + struct.pack("<QQQQQQ", len(ids), len(flat), len(rules), first, len(seq), width)
-    return b"".join([head, known.tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), tops.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), lengths[first:].astype("<u8").tobytes(), packed(seq, width)])
+    return b"".join([head, known.tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), tops.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), lengths[first:].astype("<u4").tobytes(), packed(seq, width)])
 
 
 class Shard:
@@ -206,7 +406,7 @@ class Shard:
         self.doc_ids = [None if z else int(d) for d, z in zip(known, null)]
         self.sizes, self.tops = take("<u4", n).astype(np.int64), take("<u8", n + 1).astype(np.int64)
         self.rules = take("<u4", 2 * r).reshape(-1, 2).astype(np.int64)
-        self.lengths = take("<u8", r).astype(np.int64)
+        self.lengths = take("<u4", r).astype(np.int64)
         self._body = data[at:]
 
     def _expanded(self, seq: np.ndarray) -> np.ndarray:
@@ -257,14 +457,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int | No
         e = encoder(vocabulary)
         part = TaskContext.get().partitionId()
         ids, parts, size, shard = [], [], 0, 0
-        for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids.append(doc_id)
-                parts.append(e.encode(text or "") + tail)
-                size += len(parts[-1]) // 4
-                if size >= shard_ids:
-                    yield part, shard, size, write_shard(ids, parts)
-                    ids, parts, size, shard = [], [], 0, shard + 1
+        for doc_id, got in encoded(e, batches):
+            ids.append(doc_id)
+            parts.append(got + tail)
+            size += len(parts[-1]) // 4
+            if size >= shard_ids:
+                yield part, shard, size, write_shard(ids, parts)
+                ids, parts, size, shard = [], [], 0, shard + 1
         if ids:
             yield part, shard, size, write_shard(ids, parts)
 
