@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import math
 import mmap
+import os
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import pack, table, unpack, written
+from .common import pack, release, table, unpack, written
 
 #: Characters of a chunk, and of text for a bucket, about; fewest chunks and buckets; buckets that share a context.
 CHUNK_CHARS, BUCKET_CHARS, FEWEST, SPREAD = 4_000_000, 4_000_000, 256, 16
 #: Steps of a stored probability to the factor two; hashes of the signs for a text's begin and end.
 STEPS, BEGIN, END = 1024, np.uint64(0x1B873593CC9E2D51), np.uint64(0x38495AB5ED558CCD)
+#: Questions to a trie at a time.
+QUESTIONS = 100_000
 #: In place of a chunk, where a bucket tells how often its contexts' successors are new.
 NOVEL = -1
 MESSAGE = StructType([StructField("bucket", IntegerType()), StructField("chunk", IntegerType()), StructField("body", BinaryType())])
@@ -43,57 +47,93 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
+#: For each byte its number of ones, and the place of its k-th one.
+ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+PLACE = np.array([([k for k in range(8) if b >> k & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
+
+
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary. `select` finds values, `seek` searches them, both for whole arrays of questions."""
+    """A monotone sequence in about 2 + log2(largest / n) bits a value, read where it lies: nothing is unpacked.
+
+    Low bits stand packed; high parts are ones in a bit vector, each as many
+    zeros after the start as it counts, with the number of ones before every 64
+    bits beside it. `select` finds values, `seek` searches them, both for whole
+    arrays of questions: the zeros tell which values share a high part, and only
+    the low bits of these are compared.
+    """
 
     def __init__(self, buffer, at: int = 0) -> None:
-        self.n, self.low, lows, highs = struct.unpack_from("<QQQQ", buffer, at)
-        at += 32
-        self._lows = np.frombuffer(buffer, np.uint8, lows, at)
-        self._ones = np.flatnonzero(np.unpackbits(np.frombuffer(buffer, np.uint8, highs, at + lows), bitorder="little"))
-        self.end = at + lows + highs
+        self.n, self.low, lows, words, self.top = struct.unpack_from("<QQQQQ", buffer, at)
+        at += 40
+        self._lows = np.ndarray((lows - 7,), "<u8", buffer, at, (1,))
+        self._high = np.frombuffer(buffer, np.uint8, 8 * words, at + lows).reshape(-1, 8)
+        self._ones = np.frombuffer(buffer, "<u4", words, at + lows + 8 * words)
+        self._zeros = 64 * np.arange(words) - self._ones
+        self.end = at + lows + 12 * words
 
     @staticmethod
     def coded(values: np.ndarray) -> bytes:
-        n = len(values)
-        low = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
-        low = min(56, -(-low // 8) * 8)  # whole bytes, so that low bits are read at any place without shifting
-        v = values.astype(np.uint64)
-        lows = v.astype("<u8").view(np.uint8).reshape(n, 8)[:, : low // 8].tobytes() if n else b""
-        ones = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
-        bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
-        bits[ones] = 1
-        highs = np.packbits(bits, bitorder="little").tobytes()
-        return struct.pack("<QQQQ", n, low, len(lows), len(highs)) + lows + highs
+        n, v = len(values), values.astype(np.uint64)
+        low = min(56, max(0, (int(v[-1]) // n).bit_length() - 1)) if n else 0
+        bits = (v[:, None] >> np.arange(low, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+        lows = np.packbits(bits.reshape(-1), bitorder="little").tobytes() + bytes(8)
+        high = (v >> np.uint64(low)).astype(np.int64)
+        top = int(high[-1]) if n else 0
+        words = (n + top + 2 + 63) // 64  # a zero after the last value, at least
+        flags = np.zeros(64 * words, np.uint8)
+        flags[high + np.arange(n)] = 1
+        ones = np.concatenate([[0], np.cumsum(flags.reshape(-1, 64).sum(1, dtype=np.int64))[:-1]]).astype("<u4")
+        return struct.pack("<QQQQQ", n, low, len(lows), words, top) + lows + np.packbits(flags, bitorder="little").tobytes() + ones.tobytes()
+
+    @staticmethod
+    def _within(octets: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th ones in rows of eight bytes."""
+        rows, many = np.arange(len(k)), ONES[octets]
+        upto = np.cumsum(many, 1, dtype=np.uint8)
+        at = np.minimum((upto <= k[:, None]).sum(1), 7)
+        return 8 * at + PLACE[octets[rows, at], np.minimum(k - (upto[rows, at] - many[rows, at].astype(np.int64)), 7)]
+
+    def _lows_of(self, k: np.ndarray) -> np.ndarray:
+        bit = k.astype(np.int64) * self.low
+        return self._lows[bit >> 3] >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low) - 1)
 
     def select(self, k: np.ndarray) -> np.ndarray:
-        high = (self._ones[k] - k).astype(np.uint64)
-        out = np.zeros(len(k), np.uint64)
-        wide = self.low // 8
-        if wide:
-            part = np.zeros((len(k), 8), np.uint8)
-            part[:, :wide] = self._lows.reshape(-1, wide)[k]
-            out = part.reshape(-1).view("<u8").astype(np.uint64)
-        return high << np.uint64(self.low) | out
+        """The k-th values."""
+        k = k.astype(np.int64)
+        word = np.searchsorted(self._ones, k, "right") - 1
+        place = 64 * word + self._within(self._high[word], k - self._ones[word])
+        return (place - k).astype(np.uint64) << np.uint64(self.low) | self._lows_of(k)
+
+    def _upto(self, high: np.ndarray) -> np.ndarray:
+        """How many values have at most this high part: the ones before the zero of that number."""
+        word = np.searchsorted(self._zeros, high, "right") - 1
+        return 64 * word + self._within(~self._high[word], high - self._zeros[word]) - high
 
     def seek(self, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Places of `wanted` in [lo, hi) each, -1 where it isn't there."""
-        lo, top = lo.copy(), hi
-        hi = hi.copy()
-        while len(open_ := np.flatnonzero(lo < hi)):
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self.select(mid) < wanted[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
         out = np.full(len(wanted), -1, np.int64)
-        inside = np.flatnonzero(lo < top)
-        found = inside[self.select(lo[inside]) == wanted[inside]]
-        out[found] = lo[found]
+        if not self.n or not len(wanted):
+            return out
+        high, low = (wanted >> np.uint64(self.low)).astype(np.int64), wanted & np.uint64((1 << self.low) - 1)
+        inside = np.flatnonzero((high <= self.top) & (lo < hi))
+        high, low = high[inside], low[inside]
+        a = np.maximum(lo[inside], np.where(high > 0, self._upto(np.maximum(high - 1, 0)), 0))
+        b = z = np.minimum(hi[inside], self._upto(high))
+        while len(open_ := np.flatnonzero(a < b)):
+            mid = (a[open_] + b[open_]) // 2
+            less = self._lows_of(mid) < low[open_]
+            a[open_[less]] = mid[less] + 1
+            b = b.copy() if b is z else b
+            b[open_[~less]] = mid[~less]
+        some = np.flatnonzero(a < z)
+        found = some[self._lows_of(a[some]) == low[some]]
+        out[inside[found]] = a[found]
         return out
 
 
 class PairTrie:
-    """Two levels: contexts, and each context's successors with quantised probabilities. Opened on any buffer, a mapped file too."""
+    """Two levels: contexts, and each context's successors with quantised probabilities. Opened on any buffer, a mapped file too; a question is
+    a context, its pointers, and a search of the successors between these alone."""
 
     def __init__(self, buffer) -> None:
         self.contexts = EliasFano(buffer)
@@ -122,6 +162,24 @@ class PairTrie:
         return out
 
 
+@contextmanager
+def mapped(data: bytes) -> Iterator[mmap.mmap]:
+    """Data as a mapped file that has no place in any folder."""
+    if not hasattr(os, "memfd_create"):
+        with mmap.mmap(-1, len(data)) as m:
+            m[:] = data
+            yield m
+        return
+    f = os.memfd_create("trie")
+    try:
+        with os.fdopen(f, "wb", closefd=False) as out:
+            out.write(data)
+        with mmap.mmap(f, len(data), access=mmap.ACCESS_READ) as m:
+            yield m
+    finally:
+        os.close(f)
+
+
 def probability(codes: np.ndarray) -> np.ndarray:
     """What a code says: a pair's share of all training tokens; 0 for code 0."""
     return np.where(codes > 0, np.exp2((codes.astype(np.float64) - 65535) / STEPS), 0.0)
@@ -250,18 +308,21 @@ def answers(words: int, total: int):
                 out.append(pack(got))
         else:
             asked = [unpack(b, "<u8", "<u4") for b in bodies]
-            pair = [np.cumsum(steps, dtype=np.uint64) for steps, _ in asked]
-            seen = [c > 0 for _, c in asked]
-            values, many = counted(np.concatenate([p[s] for p, s in zip(pair, seen)]), np.concatenate([c[s] for (_, c), s in zip(asked, seen)]))
-            coded = PairTrie.coded(values >> np.uint64(32), values & np.uint64(0xFFFFFFFF), many.astype(np.float64), total)
-            context, owner = np.unique(values >> np.uint64(32), return_inverse=True)
-            met = [pack(context, np.bincount(owner, many == 1, len(context)).astype("<u8"), np.bincount(owner, many, len(context)).astype("<u8"))]
-            with mmap.mmap(-1, len(coded)) as level:
-                level[:] = coded
+            pair = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps, _ in asked])
+            ends = np.cumsum([len(steps) for steps, _ in asked])
+            values, place = np.unique(pair, return_inverse=True)
+            many = np.bincount(place, np.concatenate([c for _, c in asked]), len(values))
+            del pair
+            seen = many > 0
+            known, count = values[seen], many[seen]
+            with mapped(PairTrie.coded(known >> np.uint64(32), known & np.uint64(0xFFFFFFFF), count, total)) as level:
                 trie = PairTrie(level)
-                del coded, values, many
-                out = [pack(trie.look_up(p >> np.uint64(32), p & np.uint64(0xFFFFFFFF))) for p in pair]
+                code = np.concatenate([trie.look_up(v >> np.uint64(32), v & np.uint64(0xFFFFFFFF)) for v in np.array_split(values, -(-len(values) // QUESTIONS))])
                 del trie
+            out = [pack(code[p]) for p in np.split(place, ends[:-1])]
+            context, owner = np.unique(known >> np.uint64(32), return_inverse=True)
+            met = [pack(context, np.bincount(owner, count == 1, len(context)).astype("<u8"), np.bincount(owner, count, len(context)).astype("<u8"))]
+            release()
             out, chunks = out + met, [*chunks, NOVEL]
         return pa.table([pa.array(x, f.type) for x, f in zip(([bucket] * len(out), chunks, out), schema)], schema=schema)
 
@@ -345,7 +406,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     sums = store.where("bucket >= 0").agg(F.sum("first"), F.sum("second")).first()
     total, vocabulary = sums[0] or 0, sums[1] or 0
     out = _parse_datatype_string(OUT)
-    dealt = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("__held"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("__chunk"))
+    dealt = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("__held"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("__chunk"))
     asked = dealt.groupBy("__chunk").applyInArrow(questions(words, pairs), MESSAGE)
     known = store.where("bucket >= 0").select("bucket", "body")
     told = written(asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answers(words, total), MESSAGE), "told")
