@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from .common import fold_rows, table
 WIDTH, ROWS = 64, 16384
 #: Bins of a colour histogram: two bits for each of red, green and blue.
 BINS = 64
+#: Pixels of a screen or a frame beyond which a file isn't decoded: the header of a few bytes can ask for any size.
+PIXELS = 1 << 25
 
 
 def lzw_codes(data: bytes) -> tuple[list[int], list[int]]:
@@ -185,18 +188,25 @@ class Frame:
 
 def read_gif(data: bytes, screens: bool = True) -> tuple[int, int, list[Frame]]:
     """(width, height, frames) of a GIF. ValueError if it isn't one; a file that breaks off gives the frames that are whole or begun."""
+    frames = list(shown_frames(data, screens))
+    return *struct.unpack("<HH", data[6:10]), frames
+
+
+def shown_frames(data: bytes, screens: bool = True) -> Iterator[Frame]:
+    """The frames of a GIF, one in memory at a time; without `screens` only their samples. ValueError for what isn't one, and where a screen or a frame has more than PIXELS."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, back = struct.unpack("<HHBB", data[6:12])
+    if width * height > PIXELS:
+        raise ValueError("a screen of too many pixels")
     at = 13
     common = None
     if flags & 0x80:
         n = 2 << (flags & 7)
         common = np.frombuffer(data[at : at + 3 * n].ljust(3 * n, b"\0"), np.uint8).reshape(-1, 3)
         at += 3 * n
-    screen = np.zeros((height, width, 4), np.uint8) if screens else None
-    frames: list[Frame] = []
-    clock, delay, clear_index, disposal = 0, 0, -1, 0
+    screen = np.zeros((height, width, 4) if screens else (0, 0, 4), np.uint8)
+    index, clock, delay, clear_index, disposal = 0, 0, 0, -1, 0
 
     def gathered(at: int) -> tuple[bytes, int]:
         parts = []
@@ -228,31 +238,34 @@ def read_gif(data: bytes, screens: bool = True) -> tuple[int, int, list[Frame]]:
             break
         least = data[at]
         body, at = gathered(at + 1)
+        if w * h > PIXELS:
+            raise ValueError("a frame of too many pixels")
         samples = unlzw(body, min(max(least, 1), 11), w * h)
-        shown = screen
-        if screens:
-            before = screen.copy() if disposal == 3 else None
-            px = np.frombuffer(samples.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
-            if f & 0x40:
-                order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
-                px = px[np.argsort(order)]
-            pal = palette if palette is not None else np.zeros((1, 3), np.uint8)
-            rgb = pal[np.minimum(px, len(pal) - 1)]
-            see = px != clear_index if clear_index >= 0 else np.ones((h, w), bool)
-            hh, ww = max(0, min(h, height - y)), max(0, min(w, width - x))
-            part = screen[y : y + hh, x : x + ww]
-            m = see[:hh, :ww]
-            part[m, :3] = rgb[:hh, :ww][m]
-            part[m, 3] = 255
-            shown = screen.copy()
-            if disposal == 2:
-                screen[y : y + hh, x : x + ww] = 0
-            elif disposal == 3:
-                screen = before
-        frames.append(Frame(len(frames), clock, delay, shown, samples, (x, y, w, h)))
+        before = screen.copy() if disposal == 3 else None
+        px = np.frombuffer(samples.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        if f & 0x40:
+            order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
+            px = px[np.argsort(order)]
+        pal = palette if palette is not None else np.zeros((1, 3), np.uint8)
+        hh, ww = max(0, min(h, len(screen) - y)), max(0, min(w, screen.shape[1] - x))
+        rgb = pal[np.minimum(px[:hh, :ww], len(pal) - 1)]
+        part = screen[y : y + hh, x : x + ww]
+        if clear_index >= 0:
+            see = px[:hh, :ww] != clear_index
+            part[see, :3] = rgb[see]
+            part[see, 3] = 255
+        else:
+            part[..., :3] = rgb
+            part[..., 3] = 255
+        shown = screen.copy()
+        if disposal == 2:
+            screen[y : y + hh, x : x + ww] = 0
+        elif disposal == 3:
+            screen = before
+        yield Frame(index, clock, delay, shown, samples, (x, y, w, h))
+        index += 1
         clock += delay
         delay, clear_index, disposal = 0, -1, 0
-    return width, height, frames
 
 
 def histogram(screen: np.ndarray) -> np.ndarray:
@@ -262,17 +275,22 @@ def histogram(screen: np.ndarray) -> np.ndarray:
 
 
 def gif_frames(media: DataFrame, key: str = "doc_id", column: str = "gif") -> DataFrame:
-    """A row for each frame of each GIF: key, frame, start_cs, duration_cs, width, height, rgba of the screen, histogram. Null or broken files give no row; an empty table none."""
+    """A row for each frame of each GIF: key, frame, start_cs, duration_cs, width, height, rgba of the screen, histogram.
+
+    Null files, files that aren't GIFs and screens or frames of more than PIXELS
+    give no row; a file that breaks off gives the frames before; repeated rows
+    come out as often; other columns are ignored; an empty table gives none.
+    """
 
     def run(batches):
         for b in batches:
             for k, data in zip(b[key], b[column]):
                 try:
-                    w, h, frames = read_gif(data or b"")
+                    for f in shown_frames(data or b""):
+                        h, w = f.screen.shape[:2]
+                        yield k, f.index, f.start, f.duration, w, h, f.screen.tobytes(), histogram(f.screen).tolist()
                 except ValueError:
                     continue
-                for f in frames:
-                    yield k, f.index, f.start, f.duration, w, h, f.screen.tobytes(), histogram(f.screen).tolist()
 
     return fold_rows(media.select(key, column), f"{key} long, frame int, start_cs long, duration_cs int, width int, height int, rgba binary, histogram array<long>", run, 16)
 
@@ -283,17 +301,24 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def stored_payloads(docs: DataFrame) -> DataFrame:
-    """Every whole text as a GIF, read back: sizes, hashes and a feature of what the decoder gives. A null text counts as empty; equal texts give equal values; other columns are ignored."""
+    """Every whole text as a GIF, read back: sizes, hashes, and as a feature the number and size of the frames and the colour histogram of the composed screens.
+
+    A null text counts as empty; equal texts give equal values; repeated rows
+    come out as often; a long text has several frames; other columns are
+    ignored; no documents, no rows.
+    """
 
     def one(text):
         n, payload = payload_of(text)
         gif = write_gif(payload)
-        _, _, frames = read_gif(gif, screens=False)
-        back = b"".join(f.samples for f in frames)
+        parts, colours = [], np.zeros(BINS, np.int64)
+        for f in shown_frames(gif):
+            parts.append(f.samples)
+            colours += histogram(f.screen)
+        back = b"".join(parts)
         if back != payload:
             raise ValueError("a payload doesn't come back from its GIF")
-        grey = np.bincount(np.frombuffer(back, np.uint8) >> 6, minlength=4)
-        feature = f"{len(frames)}x{WIDTH}x{len(back) // WIDTH}:" + ",".join(f"{21 * k}={v}" for k, v in enumerate(grey) if v)
+        feature = f"{len(parts)}x{WIDTH}x{len(back) // WIDTH}:" + ",".join(f"{k}={v}" for k, v in enumerate(colours.tolist()) if v)
         return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), feature
 
     def run(batches):
