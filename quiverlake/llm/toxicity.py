@@ -99,43 +99,42 @@ def swaps(words: Counter) -> list[tuple[str, str]]:
     return [(g[k], g[(k + 1) % len(g)]) for g in GROUPS for k in range(len(g)) if g[k] in words]
 
 
-def fit(rows: list[tuple[str | None, int]], shrink: float = SHRINK, fairness: float = FAIRNESS, steps: int = STEPS) -> Model:
-    """A model from (text, label) rows. No rows, or rows of one label alone, give that label's constant (0.5 x the threshold for none)."""
-    labels = np.array([1.0 if y else 0.0 for _, y in rows])
-    if not len(rows) or labels.min() == labels.max():
-        share = (labels.sum() + 0.3) / (len(labels) + 2)
-        return Model(np.zeros(FEATURES), math.log(share / (1 - share)))
-    memo: dict[str, list[int]] = {}  # of the words met lately
+def counted(text: str | None) -> tuple[list[int], list[float], list[list[int]], list[list[float]]]:
+    """A text as (features, counts), and for each group name in it the features and counts that swapping it changes. At most FEATURES entries each, however long the text."""
 
     def features(counts: list[tuple[str, float]]) -> Counter:
         out: Counter = Counter()
         for w, n in counts:
-            if w not in memo:
-                if len(memo) > 100_000:
-                    memo.clear()
-                memo[w] = word_features(w)
-            for k in memo[w]:
+            for k in word_features(w):
                 out[k] += n
         return out
 
-    def sparse(bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, feature and count of each entry, one bag in memory at a time."""
-        cols, vals, size = [np.empty(0, np.int32)], [np.empty(0, np.float32)], []
-        for b in bags:
-            size.append(len(b))
-            cols.append(np.fromiter(b.keys(), np.int32, len(b)))
-            vals.append(np.fromiter(b.values(), np.float32, len(b)))
-        return np.repeat(np.arange(len(size), dtype=np.int32), size), np.concatenate(cols), np.concatenate(vals)
+    b = bag(text)
+    own = features(list(b.items()))
+    pairs = [features([(a, float(b[a])), (z, -float(b[a]))]) for a, z in swaps(b)]
+    return list(own), [float(n) for n in own.values()], [list(p) for p in pairs], [[float(n) for n in p.values()] for p in pairs]
+
+
+def fit(rows: list[tuple[str | None, int]], shrink: float = SHRINK, fairness: float = FAIRNESS, steps: int = STEPS) -> Model:
+    """A model from (text, label) rows, see fit_counts()."""
+    return fit_counts([(counted(t), y) for t, y in rows], shrink, fairness, steps)
+
 
-    pairs: list[Counter] = []
+def fit_counts(rows: list[tuple[tuple, int]], shrink: float = SHRINK, fairness: float = FAIRNESS, steps: int = STEPS) -> Model:
+    """A model from (counted(text), label) rows. No rows, or rows of one label alone, give that label's constant (0.5 x the threshold for none)."""
+    labels = np.array([1.0 if y else 0.0 for _, y in rows])
+    if not len(rows) or labels.min() == labels.max():
+        share = (labels.sum() + 0.3) / (len(labels) + 2)
+        return Model(np.zeros(FEATURES), math.log(share / (1 - share)))
 
-    def each():
-        for t, _ in rows:
-            b = bag(t)
-            pairs.extend(features([(a, float(b[a])), (z, -float(b[a]))]) for a, z in swaps(b))
-            yield features(list(b.items()))
+    def sparse(bags: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, feature and count of each entry."""
+        cols = [np.empty(0, np.int32), *(np.array(k, np.int32) for k, _ in bags)]
+        vals = [np.empty(0, np.float32), *(np.array(n, np.float32) for _, n in bags)]
+        return np.repeat(np.arange(len(bags), dtype=np.int32), [len(k) for k, _ in bags]), np.concatenate(cols), np.concatenate(vals)
 
-    r, c, v = sparse(each())
+    pairs = [p for x, _ in rows for p in zip(x[2], x[3])]
+    r, c, v = sparse([(x[0], x[1]) for x, _ in rows])
     # only features whose share differs between the labels by more than chance are fitted
     total = np.bincount(c, minlength=FEATURES)
     toxic = np.bincount(c, labels[r], FEATURES)
@@ -145,7 +144,6 @@ def fit(rows: list[tuple[str | None, int]], shrink: float = SHRINK, fairness: fl
     keep = ((np.abs(z) > SCREEN) & (total >= 3))[c]
     r, c, v = r[keep], c[keep], v[keep]
     used = np.unique(c)
-    memo.clear()
     sr, sc, sv = sparse(pairs)
     place = np.full(FEATURES, -1)
     place[used] = np.arange(len(used))
@@ -182,19 +180,33 @@ def fit(rows: list[tuple[str | None, int]], shrink: float = SHRINK, fairness: fl
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows that the model isn't trained on; those without an id among them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
-    """Fits on at most `bound` labelled rows, none of them held out; labelled ids without a document are ignored, null labels too, and a document's text counts whole."""
+    """Fits on at most `bound` labelled rows, none of them held out; whole texts are counted in tasks, so at most bound x FEATURES counts are gathered.
+
+    Labelled ids without a document are ignored, null labels too; of repeated ids
+    the largest label and the first text in order count; a null text counts as
+    empty. Without rows the model is a constant.
+    """
     rows = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    got = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "text", "toxic").collect()
-    return fit([(r[1], r[2]) for r in sorted(got, key=lambda r: (r[0], r[1] or ""))])
+    texts = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+
+    def run(batches):
+        for b in batches:
+            for doc_id, text, toxic in zip(b["doc_id"], b["text"], b["toxic"]):
+                yield doc_id, int(toxic), *counted(text)
+
+    got = fold_rows(texts, "doc_id long, toxic int, features array<int>, counts array<float>, swapped array<array<int>>, changes array<array<float>>", run, 64).collect()
+    return fit_counts([(tuple(r)[2:], r[1]) for r in sorted(got, key=lambda r: r[0])])
 
 
 def toxicity_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. Null texts score as empty ones; equal texts alike; other columns are ignored."""
+    """Per document: doc_id, held_out, score, predicted. Null texts score as empty ones, equal texts alike, long ones whole; rows without an id count as
+    held out; repeated rows come out as often; other columns are ignored; no documents, no rows."""
 
     def run(batches):
         for b in batches:
