@@ -38,8 +38,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 MARKS = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[a-z]+", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: Nesting beyond which elements share their parent, so that no page exceeds the stack or the square of its length.
-DEEP = 256
+#: Elements that may stand in head; any other start tag ends it. Fixed value.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
 
 class Node:
@@ -63,11 +63,37 @@ def marks(attributes: str) -> list[str]:
     return out
 
 
+class Open:
+    """The open block elements (tag, node), and the places of each tag among them, so that no search depends on the depth."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int]] = [("html", 0)]
+        self._places: dict[str, list[int]] = {}
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost of these tags, 0 where none is open."""
+        return max((p[-1] for t in tags if (p := self._places.get(t))), default=0)
+
+    def push(self, tag: str, node: int) -> None:
+        self._places.setdefault(tag, []).append(len(self.items))
+        self.items.append((tag, node))
+
+    def cut(self, place: int) -> None:
+        """Closes what stands from a place on."""
+        while len(self.items) > place:
+            self._places[self.items.pop()[0]].pop()
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes of a page in page order; the first is the root. Missing end tags are implied, unknown end tags ignored."""
+    """Nodes of a page in page order; the first is the root.
+
+    Missing end tags are implied, unknown end tags ignored. A head ends where
+    something begins that can't stand in it, and a hidden element that isn't
+    closed where an element about it is.
+    """
     nodes = [Node("html", -1, [])]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open block elements
-    hidden: list[str] = []
+    stack = Open()
+    hidden: list[str] = []  # open hidden elements, and block elements in them
     parts: list[str] = []
     linked = links = 0
     raw = ""
@@ -76,7 +102,7 @@ def parse(page: str) -> list[Node]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            n = Node("#", stack[-1][1], [])
+            n = Node("#", stack.items[-1][1], [])
             n.text, n.linked = text, linked
             nodes.append(n)
             nodes[n.up].kids += 1
@@ -92,6 +118,8 @@ def parse(page: str) -> list[Node]:
             continue
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
+        if hidden == ["head"] and text.strip():
+            hidden.clear()
         if text and not hidden:
             parts.append(text)
             if links:
@@ -104,16 +132,18 @@ def parse(page: str) -> list[Node]:
             continue
         end, attributes = (m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
         if hidden:
-            if not end and tag in RAW:
-                raw = tag
-            elif tag == "body" and hidden[0] == "head":
+            if not end and tag not in IN_HEAD and all(h in ("head", "noscript") for h in hidden) and hidden[0] == "head":
                 hidden.clear()
-            elif end and tag in hidden:
-                while hidden.pop() != tag:
-                    pass
-            elif not end and tag in HIDDEN and not attributes.endswith("/"):
-                hidden.append(tag)
-            if hidden or end or tag not in ("body",):
+            elif end and tag not in hidden and tag in BLOCK and stack.last(tag):
+                hidden.clear()
+            else:
+                if end and tag in hidden:
+                    while hidden.pop() != tag:
+                        pass
+                elif not end and tag in RAW:
+                    raw = tag
+                elif not end and (tag in HIDDEN or tag in BLOCK) and not attributes.endswith("/"):
+                    hidden.append(tag)
                 continue
         if end:
             if tag == "a":
@@ -121,11 +151,8 @@ def parse(page: str) -> list[Node]:
             elif tag in BLOCK:
                 flush()
                 links = 0
-                if any(t == tag for t, _ in stack[1:]):
-                    while stack.pop()[0] != tag:
-                        pass
-            elif tag in HIDDEN:
-                pass
+                if place := stack.last(tag):
+                    stack.cut(place)
             continue
         if tag in RAW:
             raw = tag
@@ -140,22 +167,16 @@ def parse(page: str) -> list[Node]:
         elif tag in BLOCK and tag not in ("html",):
             flush()
             links = 0
-            if tag in ENDS_P and any(t == "p" for t, _ in stack):
-                k = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                if not any(t in ("button", "td", "th", "table") for t, _ in stack[k + 1 :]):
-                    del stack[k:]
+            if tag in ENDS_P and (place := stack.last("p")) and stack.last("button", "td", "th", "table") < place:
+                stack.cut(place)
             if tag in SIBLINGS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in SIBLINGS[tag]:
-                        del stack[k:]
-                        continue
-                    if stack[k][0] in SCOPES:
-                        break
-            n = Node(tag, stack[-1][1], marks(attributes))
+                while (place := stack.last(*SIBLINGS[tag])) > stack.last(*(SCOPES - SIBLINGS[tag])):
+                    stack.cut(place)
+            n = Node(tag, stack.items[-1][1], marks(attributes))
             nodes[n.up].kids += 1
             nodes.append(n)
-            if tag not in VOID and len(stack) < DEEP:
-                stack.append((tag, len(nodes) - 1))
+            if tag not in VOID:
+                stack.push(tag, len(nodes) - 1)
     flush()
     return nodes
 
