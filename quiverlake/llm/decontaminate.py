@@ -25,6 +25,8 @@ SEED, GRAM, SCORE = 2, 3, 0.5
 BLOCK_CHARS = 8_000_000
 #: Gain of an equal word, loss of a different one and of a gap.
 MATCH, MISMATCH, GAP = 1, -1, -1
+#: Cells of an alignment that are kept at once.
+CELLS = 1 << 24
 WORDS = re.compile(r"\w+")
 
 
@@ -107,16 +109,32 @@ class Items:
         return out
 
 
+def next_row(up: np.ndarray, doc: np.ndarray, word: int, ahead: np.ndarray) -> np.ndarray:
+    """Scores of the alignments that end at an item's word and each place of a stretch, from those of the word before; not cut off at zero by gaps."""
+    best = np.maximum(up + GAP, 0)
+    best[1:] = np.maximum(best[1:], up[:-1] + np.where(doc == word, MATCH, MISMATCH))
+    return np.maximum.accumulate(best + ahead) - ahead  # gaps in the item, the dearest first
+
+
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
-    """(best score, first word, word after the last) of the best local alignment of an item in a stretch of a document; of equals the one that ends first."""
+    """(best score, first word, word after the last) of the best local alignment of an item in a stretch of a document; of equals the one that ends first.
+
+    Up to CELLS cells the scores are kept and walked back. Beyond, two rows at a
+    time are, once to find the end and once backwards from there to find the
+    start, the nearest that gives the score, so memory stays in proportion to the stretch.
+    """
     n = len(doc)
     ahead = -GAP * np.arange(n + 1, dtype=np.int32)
+    if (len(item) + 1) * (n + 1) > CELLS:
+        top, end = ending(doc, item)
+        if not top:
+            return 0, 0, 0
+        back = np.ascontiguousarray(doc[:end][::-1])
+        _, length = ending(back, item[::-1], top)
+        return top, end - length, end
     rows = np.zeros((len(item) + 1, n + 1), np.int32)
     for i, w in enumerate(item, 1):
-        up = rows[i - 1]
-        best = np.maximum(up + GAP, 0)
-        best[1:] = np.maximum(best[1:], up[:-1] + np.where(doc == w, MATCH, MISMATCH))
-        rows[i] = np.maximum.accumulate(best + ahead) - ahead  # gaps in the item, the dearest first
+        rows[i] = next_row(rows[i - 1], doc, w, ahead)
     top = int(rows.max())
     if not top:
         return 0, 0, 0
@@ -133,6 +151,33 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return top, j, end
 
 
+def ending(doc: np.ndarray, item: np.ndarray, goal: int | None = None) -> tuple[int, int]:
+    """(best score, the first place where an alignment of it ends), by two rows. With a goal, the first place where one of that score ends that begins at the stretch's begin, wherever it starts in the item."""
+    n = len(doc)
+    ahead = -GAP * np.arange(n + 1, dtype=np.int32)
+    low = np.int32(-(1 << 29))
+    row = np.zeros(n + 1, np.int32)
+    if goal is not None:
+        row[1:] = GAP * np.arange(1, n + 1)
+    top, end = 0, n
+    for w in item:
+        if goal is None:
+            row = next_row(row, doc, w, ahead)
+        else:
+            best = np.maximum(row + GAP, low)
+            best[0] = 0  # the alignment may start at any word of the item, but at the stretch's begin alone
+            best[1:] = np.maximum(best[1:], row[:-1] + np.where(doc == w, MATCH, MISMATCH))
+            row = np.maximum.accumulate(best + ahead) - ahead
+        most = int(row.max())
+        if goal is None and most >= top:
+            at = int(row.argmax())
+            end = at if most > top else min(end, at)
+            top = most
+        elif goal is not None and most >= goal:
+            end = min(end, int(np.argmax(row >= goal)))
+    return top, end
+
+
 def stretches(hits: list[tuple[int, int]], length: int, size: int, need: int) -> list[tuple[int, int]]:
     """Parts of a document that copies of an item of `length` words about the hits could cover; overlapping ones are one, those with under `need` of the item's places left out."""
     out: list[tuple[int, int, set[int]]] = []
