@@ -34,7 +34,7 @@ def byte_signs() -> dict[int, str]:
 #: From a character of such a piece to the signs of its bytes.
 SIGNS = {c: "".join(byte_signs()[b] for b in chr(c).encode()) for c in range(128, 256)}
 #: Pieces whose encoding a worker keeps; beyond it the older half is dropped. A matter of memory, never of results.
-KEEP = 600_000
+KEEP = 300_000
 
 
 class BpeCodec:

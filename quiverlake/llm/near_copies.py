@@ -1,26 +1,34 @@
-"""Near copies by MinHash bands and exact Jaccard similarity of five-word shingles.
-
-Each distinct text gets BANDS values of ROWS minimum hashes each; texts that share
-one are candidates. Every link is verified on the whole sets of shingles. At first
-a band's texts are held against its smallest and its largest only, and then all
-pairs that these links leave in different components, so a band of like texts
-costs in proportion to its size and no candidate pair is passed over.
+"""Exact Jaccard similarity of five-word shingles over candidate pairs, and MinHash bands that bring near copies together.
+
+SimHash balls of two bits reach few of the pairs at a similarity of 0.8, so texts
+that share one of BANDS values of ROWS minimum hashes each are candidates as well.
+Every link is verified on the whole sets of shingles. A value's texts are first held
+against two of them only, the smallest and the one that meets most others. Texts that
+these links leave apart from the bulk of a value are then held against all others of
+it, in blocks of bounded size whose overlaps are products of incidence matrices: no
+pair is passed over, and no table of pairs is ever made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_rows, written
+from .common import fold_rows, release, written
 from .components import components
 
 #: Words of a shingle, and similarity from which texts are near copies.
 SHINGLE, ALIKE = 5, 0.8
 #: Bands and minimum hashes of a band: a pair at 0.8 shares one with a probability of 0.9996.
 BANDS, ROWS = 20, 5
+#: Texts, and bytes of their sets, on a side of a block, about; shingles of an incidence matrix at a time.
+CELL_NODES, CELL_BYTES, COLUMNS = 256, 4_000_000, 4096
 #: Factor of the rolling hash, and those of the minimum hashes. Any odd numbers do.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(5).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,18 +72,6 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bands) for each document; texts of the same words, in any case of A-Z, have the same key."""
-
-    def run(batches):
-        for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                words = split(text)
-                yield doc_id, xxhash.xxh3_128_digest(b" ".join(words)), bands(shingles(words))
-
-    return fold_rows(docs.select("doc_id", "text"), "doc_id long, key binary, bands array<long>", run)
-
-
 def sets(texts: DataFrame) -> DataFrame:
     """(node, grams) for (doc_id, text): the packed set of shingles."""
 
@@ -96,36 +92,111 @@ def alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
                 if similarity(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)) >= ALIKE:
                     yield a, b
 
-    with_a = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a")
-    both = with_a.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
+    with_b = pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
+    both = with_b.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a")
     return fold_rows(both.select("a", "b", "left", "right"), "a long, b long", run, 64)
 
 
-def roots_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, root) for each row with a doc_id: the smallest doc_id reachable over texts that are equal, or at ALIKE or above."""
-    prints = written(sketches(docs.where("doc_id is not null")), "sketches")
-    nodes = written(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
-    member = nodes.select("node", F.explode("bands").alias("value")).distinct()
-    ends = member.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    member = written(member.join(ends, "value"), "members")
-    named = member.select(F.col("node").alias("doc_id")).distinct()
-    grams = written(sets(docs.select("doc_id", "text").join(named, "doc_id", "left_semi")).distinct(), "sets")
-    stars = member.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(value, node, low, top) for nodes(node, bands): the values that several nodes share, with the smallest of them and the one that meets most others."""
+    member = nodes.select("node", F.explode(F.array_distinct("bands")).alias("value"))
+    shared = member.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
+    member = written(member.join(shared, "value"), "members")
+    met = member.groupBy("node").agg(F.sum("n").alias("met"))
+    top = member.join(met, "node").groupBy("value").agg(F.max(F.struct("met", -F.col("node"))).alias("most"))
+    return member.join(top, "value").select("value", "node", "low", (-F.col("most.col2")).alias("top"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    grams = np.concatenate([*left, *right])
+    order = np.argsort(grams, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) > 0])) if len(grams) else np.empty(0, np.int64)
+    column = np.empty(len(grams), np.int64)
+    column[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(grams)]])))
+    n = sum(map(len, left))
+    row_l, row_r = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    here = (np.bincount(column[:n], minlength=len(first)) > 0) & (np.bincount(column[n:], minlength=len(first)) > 0)
+    number = np.cumsum(here) - 1
+    keep_l, keep_r = here[column[:n]], here[column[n:]]
+    row_l, col_l, row_r, col_r = row_l[keep_l], number[column[:n][keep_l]], row_r[keep_r], number[column[n:][keep_r]]
+    by_l, by_r = np.argsort(col_l, kind="stable"), np.argsort(col_r, kind="stable")
+    for at in range(0, int(here.sum()), COLUMNS):
+        a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        for m, row, col, by in ((a, row_l, col_l, by_l), (b, row_r, col_r, by_r)):
+            part = by[slice(*np.searchsorted(col[by], [at, at + COLUMNS]))]
+            m[row[part], col[part] - at] = 1
+        out += a @ b.T
+    return out
+
+
+def joined(cell: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links that join up the components (node, root, side, grams) of a cell: those of all pairs of its sides at ALIKE or above."""
+    sides = [[c for c in cell if c[2] == s] for s in (0, 1)]
+    if not all(sides):
+        return
+    left, right = ([np.frombuffer(c[3], np.uint64) for c in s] for s in sides)
+    both = overlaps(left, right)
+    size_l, size_r = (np.array([len(x) for x in s], np.float64) for s in (left, right))
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    for i, j in zip(*np.nonzero(both / (size_l[:, None] + size_r - both) >= ALIKE)):
+        a, b = find(sides[0][i][1]), find(sides[1][j][1])
+        if a != b:
+            parent[a] = b
+            yield sides[0][i][0], sides[1][j][0]
+
+
+def rest_of(met: DataFrame, found: DataFrame, grams: DataFrame) -> DataFrame:
+    """Links among the texts that meet at a value and that `found` (node, root) leaves apart.
+
+    At each value all texts outside its most frequent component are held against
+    all texts of it. Both sides go in blocks of CELL_NODES texts or CELL_BYTES of
+    sets about, each block of one side with each of the other.
+    """
+    placed = met.join(found, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+    kinds = placed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
+    bulk = kinds.groupBy("value").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("value", F.col("most.root").alias("bulk"))
+    sized = placed.join(bulk, "value").join(grams.select("node", F.octet_length("grams").alias("size")), "node")
+    sized = written(sized.select("value", "node", "root", "size", (F.col("root") != F.col("bulk")).alias("odd")), "apart")
+
+    def blocks(odd):
+        many, bytes_ = F.count(F.when(odd, 1)), F.coalesce(F.sum(F.when(odd, F.col("size"))), F.lit(0))
+        return F.ceil(F.greatest(many / CELL_NODES, bytes_ / CELL_BYTES)).cast("int")
+
+    counts = sized.groupBy("value").agg(blocks(F.col("odd")).alias("rows"), blocks(F.lit(True)).alias("cols"))
+    at = sized.join(counts, "value")
+    own = F.xxhash64("node")
+    down = at.where("odd").select("value", "node", "root", F.lit(0).alias("side"), F.pmod(own, F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    across = at.select("value", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(own, F.col("cols")).cast("int").alias("j"))
+    cells = down.unionByName(across).join(grams, "node").select("value", "i", "j", "side", "node", "root", "grams")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, cell in groupby(rows, key=lambda r: r[:3]):
+            if links := list(joined([(r[4], r[5], r[3], r[6]) for r in cell])):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], schema=schema)
+        release()
+
+    return cells.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def verified(nodes: DataFrame, texts: DataFrame, others: DataFrame) -> DataFrame:
+    """(node, root) of the components over all links at ALIKE or above between nodes(node, bands) that share a value, and between the pairs others(a, b).
+
+    texts(doc_id, text) has the nodes' texts. Nodes without a link aren't among the rows.
+    """
+    met = written(meetings(nodes), "met")
+    stars = met.select(F.explode(F.array("low", "top")).alias("a"), F.col("node").alias("b")).unionByName(others.select("a", "b")).where("a <> b")
+    stars = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    named = met.select(F.col("node").alias("doc_id")).union(stars.select("a")).union(stars.select("b")).distinct()
+    grams = written(sets(texts.select("doc_id", "text").join(named, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
     links = written(alike(stars, grams), "links")
-    found = components(links)
-    # what the stars leave apart: all pairs of a band's texts in different components
-    placed = member.join(found, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-    parted = placed.groupBy("value").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("value")
-    left = written(placed.join(parted, "value", "left_semi"), "parted")
-    other = left.select("value", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    cross = left.withColumnRenamed("node", "a").join(other, "value").where("a < b and root <> root_b").select("a", "b").distinct()
-    links = written(links.unionByName(alike(cross.join(stars, ["a", "b"], "left_anti"), grams)), "links")
-    owned = nodes.join(components(links), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    return prints.select("doc_id", "key").join(owned, "key").select("doc_id", "root")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component the smallest doc_id stays, with all its rows if it is repeated; rows without a doc_id stay."""
-    gone = roots_of(docs).where("doc_id <> root").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return components(links.unionByName(rest_of(met, components(links), grams)))

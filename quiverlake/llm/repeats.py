@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import pack, table, unpack
+from .common import pack, release, table, unpack
 
 #: Words of the least repeat that is removed.
 LEAST = 13
@@ -151,6 +151,7 @@ def window_messages(buckets: int, least: int, tag: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return to_arrow_schema(MESSAGE).empty_table()
+        release()
         c = Chunk(left, least)
         h, inside = c.blocks()
         known = np.sort(np.concatenate([opened(b, "<u4")[0].astype(np.uint64) | np.uint64(k) << np.uint64(32) for k, b in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist())]))
@@ -200,6 +201,7 @@ def removal(schema: pa.Schema, least: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
+        release()
         c = Chunk(left, least)
         a, b, whole = c.windows()
         n = len(a)

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import fold_rows, table, written
 from .components import components
 
@@ -91,9 +92,49 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) ->
     return prints.join(owned, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """docs without the near-duplicates: of each component the smallest doc_id stays, with all its rows if it is repeated; rows without a doc_id stay."""
-    gone = near_duplicates(docs, width, bits).where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+def folded(grams: np.ndarray) -> int:
+    """Fingerprint, as a signed long, of a set of 64-bit hashes; 0 of none."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 1 << 16):
+        total += np.unpackbits(grams[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(grams)).tobytes(), "big", signed=True)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, fp, bands) for each document, of its set of five-word shingles; texts of the same words, in any case of A-Z, have the same key."""
+
+    def run(batches):
+        for b in batches:
+            for doc_id, text in zip(b["doc_id"], b["text"]):
+                words = near_copies.split(text)
+                grams = near_copies.shingles(words)
+                yield doc_id, xxhash.xxh3_128_digest(b" ".join(words)), folded(grams), near_copies.bands(grams)
+
+    return fold_rows(docs.select("doc_id", "text"), "doc_id long, key binary, fp long, bands array<long>", run)
+
+
+def verified_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """(doc_id, root) for each row with a doc_id: the smallest doc_id reachable over texts that are equal, or alike.
+
+    Alike are texts whose sets of five-word shingles have a similarity of 0.8 or
+    more. Candidates are the texts of one fingerprint, the fingerprints whose
+    balls meet, and the texts of one MinHash band, as balls of a size that can be
+    shuffled reach few pairs at 0.8; every link is verified on the whole sets. Texts
+    without words are equal; repeated rows come out as often; no documents, no
+    rows; other columns are ignored; a long text is a larger set.
+    """
+    prints = written(sketches(docs.where("doc_id is not null")), "sketches")
+    nodes = written(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    hubs = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    same = nodes.join(hubs.select("fp", F.col("node").alias("hub")), "fp").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    roots = near_copies.verified(nodes.select("node", "bands"), docs, same.unionByName(links(hubs, bits)))
+    owned = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return prints.select("doc_id", "key").join(owned, "key").select("doc_id", "root")
+
+
+def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """docs without the near-duplicates: of each component of verified_duplicates the smallest doc_id stays, with all its rows if it is repeated; rows without a doc_id stay."""
+    gone = verified_duplicates(docs, bits).where("doc_id <> root").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -148,6 +148,21 @@ def test_repeats_sql(spark):
 # decontamination
 
 
+def test_long_items_align_in_two_rows(monkeypatch):
+    """Beyond CELLS the score and the end are the same, and the words from the start to the end hold that score."""
+    rng = random.Random(5)
+    for _ in range(60):
+        item = np.array([rng.randrange(6) for _ in range(rng.randrange(1, 14))])
+        doc = np.array([rng.randrange(7) - 1 for _ in range(rng.randrange(30))], np.int64)
+        whole = decontaminate.align(doc, item)
+        monkeypatch.setattr(decontaminate, "CELLS", 0)
+        got = decontaminate.align(doc, item)
+        monkeypatch.undo()
+        assert (got[0], got[2]) == (whole[0], whole[2]) or not got[0] == whole[0] == 0
+        if got[0]:
+            assert got[1] >= whole[1] and decontaminate.align(doc[got[1] : got[2]], item)[0] == got[0]
+
+
 def plain_align(doc, item):
     best, h = 0, [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
     for i in range(1, len(item) + 1):
@@ -262,6 +277,24 @@ def test_pieces_are_the_library(text):
     assert got == library_cached(path).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aAbé ß\n\t'sdtre0129.,!日×÷ÿÃ\x00\u00a0<|>endoftext"), max_size=60), max_size=9))
+def test_pieces_of_many_texts_are_the_library(texts):
+    path = token_files.default_vocabulary()
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_files.encoder(path).encode_many(texts)]
+    assert got == [e.ids for e in library_cached(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_of_documents_are_the_library():
+    import pyarrow.parquet as pq
+
+    path = token_files.default_vocabulary()
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    texts += ["x" * 5000 + " y", " ".join("ab" * k for k in range(90)), "é" * 70 + " " + "a1!" * 30, *ODD_TEXTS]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_files.encoder(path).encode_many(texts)]
+    assert got == [e.ids for e in library_cached(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_query(spark, odd, nothing):
     df, rows = odd
     lib = library_cached(bpe_text.default_vocabulary())
@@ -294,6 +327,27 @@ def test_repair_shrinks_what_repeats():
     assert len(seq) + 2 * len(rules) < len(ids) / 20
 
 
+def test_repair_is_near_one_pair_at_a_time():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    ids = np.concatenate([np.frombuffer(x, "<u4") for x in token_files.encoder(token_files.default_vocabulary()).encode_many(texts[:40])]).astype(np.int64)[:20_000]
+    seq, rules, _, _ = token_files.repair(ids, np.array([len(ids)]))
+    plain, made, symbol = ids.tolist(), 0, int(ids.max()) + 1
+    while True:
+        pairs = Counter(zip(plain, plain[1:]))
+        best = max(pairs, key=lambda p: (pairs[p], p), default=None)
+        if best is None or pairs[best] < token_files.RARE:
+            break
+        out, k = [], 0
+        while k < len(plain):
+            hit = k + 1 < len(plain) and (plain[k], plain[k + 1]) == best
+            out.append(symbol if hit else plain[k])
+            k += 1 + hit
+        plain, made, symbol = out, made + 1, symbol + 1
+    assert made > 200 and len(seq) + 2 * len(rules) <= 1.03 * (len(plain) + 2 * made)
+
+
 def test_token_files(spark, odd, nothing):
     df, rows = odd
     lib = library_cached(token_files.default_vocabulary())
@@ -467,6 +521,15 @@ def test_gif_round_trip(data, times):
     assert b"".join(f.samples for f in frames) == payload
 
 
+def test_gif_headers_allot_nothing(spark):
+    huge = b"GIF89a" + (65535).to_bytes(2, "little") * 2 + bytes(3)
+    frame = gif_media.write_gif(b"x" * 64)
+    at = frame.index(b"\x2c", 13 + 3 * 256)
+    wide = frame[: at + 5] + (65535).to_bytes(2, "little") * 2 + frame[at + 9 :]
+    df = spark.createDataFrame([(1, bytearray(huge)), (2, bytearray(wide)), (3, bytearray(frame)), (4, None)], "doc_id long, gif binary")
+    assert [r.doc_id for r in gif_media.gif_frames(df).collect()] == [3]
+
+
 def test_gif_long_payload_takes_frames():
     payload = bytes(random.Random(1).randrange(256) for _ in range(1 << 12)) * 300
     w, h, frames = gif_media.read_gif(gif_media.write_gif(payload), screens=False)
