@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,27 +11,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..sources.scratch import shared_dir, written  # noqa: F401  of all operators here
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors see. Where that is unset, one on this machine in local mode, as in tests; on a cluster an error."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = getattr(spark, "_quiverlake_shared", None) or "file://" + tempfile.mkdtemp(prefix="quiverlake-")
-        spark._quiverlake_shared = top
-    return f"{top.rstrip('/')}/quiverlake-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, tag: str = "part") -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there, and a lost executor costs nothing that is done."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def release() -> None:

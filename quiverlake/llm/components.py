@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Edges that a task holds at once, about 100 bytes each.
-TASK_EDGES = 500_000
+#: Edges that a task holds at once, about 100 bytes each; a hub has over a HUBS-th of all, so there are at most 2 x HUBS.
+TASK_EDGES, HUBS = 500_000, 5_000
+
+
+def with_least(edges: DataFrame, least: DataFrame, bar: int) -> DataFrame:
+    """edges(a, b) with m of least(a, m, n); rows with more than `bar` edges are hubs."""
+    hubs = least.where(F.col("n") > bar).select("a", "m")
+    rest = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("n") <= bar).select("a", "m"), "a")
+    return edges.join(F.broadcast(hubs), "a").unionByName(rest)
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,8 +51,10 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     each ties every node to the smallest of its neighbourhood, first for the
     larger neighbours, then for the smaller ones, until no edge changes; the
     number of rounds grows as the logarithm of the longest path.
-    Neighbourhoods are reduced to their minimum before any shuffle and joined
-    back, so no node's edges meet in one task. Every round is written to the
+    Neighbourhoods are reduced to their minimum before any shuffle. The minima of
+    nodes with more than a HUBS-th of the edges, of which there are few, go to the
+    edges; only other nodes' edges are shuffled to their minimum, so no hub's
+    edges meet in one task. Every round is written to the
     shared folder. Null ends and loops are ignored; no edges give no rows.
     """
     now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
@@ -61,12 +70,13 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
         if state == before:
             break
         before = state
+        bar = -(-state[0] // HUBS)
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = with_least(both, least, bar).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: u and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, least, bar).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

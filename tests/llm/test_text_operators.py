@@ -78,6 +78,28 @@ def test_simhash_chains_are_one_component(spark):
         assert sorted(got) == [(k, 0) for k, _ in chain]
 
 
+def test_hubs_and_trees_are_components(spark, monkeypatch):
+    from quiverlake.llm import components as c
+
+    rng = random.Random(8)
+    edges = [(500, k) for k in range(60)] + [(700 + k, 600 + rng.randrange(100 + k)) for k in range(100)] + [(10, 900), (901, 900), (None, 3), (5, 5)]
+    root = {x: x for e in edges for x in e if None not in e and e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for hubs in (3, 5000):
+        monkeypatch.setattr(c, "HUBS", hubs)
+        assert sorted((r.node, r.root) for r in c.components(df, 20).collect()) == sorted((x, find(x)) for x in root)
+
+
 def test_simhash_odd(odd, nothing):
     df, rows = odd
     got = simhash.near_duplicates(df)
@@ -295,6 +317,20 @@ def test_pieces_of_documents_are_the_library():
     assert got == [e.ids for e in library_cached(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_are_forgotten_and_replaced(monkeypatch):
+    import pyarrow.parquet as pq
+
+    path = token_files.default_vocabulary()
+    monkeypatch.setattr(token_files, "SLOTS", 6)
+    monkeypatch.setattr(token_files, "STORE", 300)
+    small = token_files.PieceEncoder(path)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()][:60]
+    want = [e.ids for e in library_cached(path).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for k in range(0, len(texts), 4) for x in small.encode_many(texts[k : k + 4])]
+        assert got == want
+
+
 def test_bpe_query(spark, odd, nothing):
     df, rows = odd
     lib = library_cached(bpe_text.default_vocabulary())
