@@ -143,11 +143,15 @@ class Index:
         return name
 
     def _read(self, names: list[str], schema: str) -> DataFrame:
-        out = None
-        for n in names:
-            part = self.spark.read.parquet(f"{self.path}/{n}")
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], schema)
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{n}" for n in names]
+        if "cell int" not in schema:
+            return self.spark.read.parquet(*paths)  # one scan, however many segments
+        out = self.spark.read.parquet(paths[0])
+        for p in paths[1:]:  # folders by cell can't be read together
+            out = out.unionByName(self.spark.read.parquet(p))
+        return out
 
     def _schema(self) -> str:
         if self.is_graph:

@@ -282,6 +282,15 @@ def test_ids_stay_unique_and_writers_apart(spark):
     assert not one.covers(frame(spark, AXES)) and one.covers(frame(spark, AXES[1:]))
 
 
+def test_cells_of_many_segments(spark):
+    index = made(spark, IVF10[:4], type="IVFFlat", ivf_nlist=2, nprobe=2)
+    for r in IVF10[4:]:
+        index.append(frame(spark, [r]))
+    index.base = frame(spark, IVF10)
+    index.delete(frame(spark, IVF10[1:2])).delete(frame(spark, IVF10[6:7]))
+    assert len(index.m.segments) == 7 and sorted(i for i, _ in pairs(index.search([1, 0, 0], 99))) == [1, 3, 4, 5, 6, 8, 9, 10]
+
+
 def test_batches_with_zero_rows(spark):
     rows = [(k, [0.0, 0.0]) for k in range(4000)] + [(4000 + k, [1.0, float(k)]) for k in range(5)]
     got = knn.nearest_pairs([(0, [1.0, 0.0]), (1, [0.0, 0.0])], frame(spark, rows), 10, metric="cosine", id_col="id")
