@@ -153,7 +153,7 @@ def sha(text: str) -> str:
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. A null text counts as empty; equal rows come out as often as they occur; other columns are ignored."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. A null text counts as empty; equal rows come out as often as they occur; long texts are encoded whole; no documents, no rows; other columns are ignored."""
 
     def run(batches):
         c = codec(path)
@@ -185,6 +185,7 @@ def default_vocabulary() -> str:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of what they decode to; odd rows as bpe_digests says."""
     return bpe_digests(table(spark, sf_dir, "documents"), default_vocabulary())
 
 

@@ -246,6 +246,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> D
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds a copy of; odd rows as contaminations says."""
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

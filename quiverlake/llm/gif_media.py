@@ -330,6 +330,7 @@ def stored_payloads(docs: DataFrame) -> DataFrame:
 
 
 def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, hashes and features of every document stored as a GIF and read back; odd rows as stored_payloads says."""
     return stored_payloads(table(spark, sf_dir, "documents"))
 
 

@@ -394,8 +394,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     A pair's probability mixes its training share with its word's (add-one) share; the word's
     part is the rate at which contexts of like count met new successors in training,
     over all documents. Null and empty texts have the end alone; rows without an
-    id are scored but not learnt from; repeated rows count each; other columns are
-    ignored; no documents, no rows.
+    id are scored but not learnt from; repeated rows count each; a long text is in
+    one chunk, which is then larger; other columns are ignored; no documents, no rows.
     """
     from pyspark.sql.types import _parse_datatype_string
 
@@ -420,6 +420,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those that aren't held out; odd rows as lm_scores says."""
     return lm_scores(table(spark, sf_dir, "documents"))
 
 

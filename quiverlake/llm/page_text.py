@@ -438,6 +438,7 @@ def main_text(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; odd rows as main_text says."""
     return main_text(table(spark, sf_dir, "pages"))
 
 

@@ -254,7 +254,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, columns: list[str] | Non
     Windows are judged on the input. Words are runs of other bytes than the six
     ASCII white spaces; a null or empty text has none and keeps none. Rows
     without doc_id neither remove nor lose words; rows of one doc_id don't remove
-    each other's. All other columns pass through; those named like the three new
+    each other's. Repeated rows come out as often; a long text is in one chunk, which
+    is then larger; no documents, no rows. All other columns pass through; those named like the three new
     ones keep their names, and the new ones then begin with two underscores.
     """
     size = docs.agg(F.sum(F.length("text")).alias("c"), F.count(F.lit(1)).alias("n")).first()
@@ -289,6 +290,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words kept and removed of every document, by windows of 13 words; odd rows as remove_repeats says."""
     made = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
     return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 

@@ -82,7 +82,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) ->
     Documents of one fingerprint are one node, named by their smallest doc_id,
     so copies cost nothing after that. Texts without words have fingerprint 0
     and are linked with each other; rows without a doc_id come out with a null
-    component_id; repeated rows come out as often; other columns are ignored.
+    component_id; repeated rows come out as often; a long text is counted in parts;
+    no documents, no rows; other columns are ignored.
     """
     prints = written(fingerprints(docs, width), "prints")
     nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
@@ -139,6 +140,7 @@ def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and their components at two bits, of all documents; odd rows as near_duplicates says."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

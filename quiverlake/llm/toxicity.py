@@ -230,6 +230,7 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of labelled rows that aren't held out; odd rows as learn and toxicity_scores say."""
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, learn(docs, table(spark, sf_dir, "labels")))
 
