@@ -99,8 +99,8 @@ def swaps(words: Counter) -> list[tuple[str, str]]:
     return [(g[k], g[(k + 1) % len(g)]) for g in GROUPS for k in range(len(g)) if g[k] in words]
 
 
-def counted(text: str | None) -> tuple[list[int], list[float], list[list[int]], list[list[float]]]:
-    """A text as (features, counts), and for each group name in it the features and counts that swapping it changes. At most FEATURES entries each, however long the text."""
+def counted(text: str | None) -> tuple[bytes, bytes, bytes, bytes, bytes]:
+    """A text's features (32-bit integers) and their counts (floats); and how many entries each group name in it has that swapping it changes, and these, alike. At most FEATURES entries each, however long the text."""
 
     def features(counts: list[tuple[str, float]]) -> Counter:
         out: Counter = Counter()
@@ -112,7 +112,8 @@ def counted(text: str | None) -> tuple[list[int], list[float], list[list[int]],
     b = bag(text)
     own = features(list(b.items()))
     pairs = [features([(a, float(b[a])), (z, -float(b[a]))]) for a, z in swaps(b)]
-    return list(own), [float(n) for n in own.values()], [list(p) for p in pairs], [[float(n) for n in p.values()] for p in pairs]
+    packed = lambda kind, values: np.array(values, kind).tobytes()
+    return packed("<i4", list(own)), packed("<f4", list(own.values())), packed("<i4", [len(p) for p in pairs]), packed("<i4", [k for p in pairs for k in p]), packed("<f4", [n for p in pairs for n in p.values()])
 
 
 def fit(rows: list[tuple[str | None, int]], shrink: float = SHRINK, fairness: float = FAIRNESS, steps: int = STEPS) -> Model:
@@ -127,14 +128,10 @@ def fit_counts(rows: list[tuple[tuple, int]], shrink: float = SHRINK, fairness:
         share = (labels.sum() + 0.3) / (len(labels) + 2)
         return Model(np.zeros(FEATURES), math.log(share / (1 - share)))
 
-    def sparse(bags: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, feature and count of each entry."""
-        cols = [np.empty(0, np.int32), *(np.array(k, np.int32) for k, _ in bags)]
-        vals = [np.empty(0, np.float32), *(np.array(n, np.float32) for _, n in bags)]
-        return np.repeat(np.arange(len(bags), dtype=np.int32), [len(k) for k, _ in bags]), np.concatenate(cols), np.concatenate(vals)
-
-    pairs = [p for x, _ in rows for p in zip(x[2], x[3])]
-    r, c, v = sparse([(x[0], x[1]) for x, _ in rows])
+    opened = lambda k, kind: [np.frombuffer(x[k], kind) for x, _ in rows]
+    joined = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+    features, swap_sizes = opened(0, "<i4"), joined(opened(2, "<i4"), "<i4")
+    r, c, v = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in features]), joined(features, "<i4"), joined(opened(1, "<f4"), "<f4")
     # only features whose share differs between the labels by more than chance are fitted
     total = np.bincount(c, minlength=FEATURES)
     toxic = np.bincount(c, labels[r], FEATURES)
@@ -144,7 +141,7 @@ def fit_counts(rows: list[tuple[tuple, int]], shrink: float = SHRINK, fairness:
     keep = ((np.abs(z) > SCREEN) & (total >= 3))[c]
     r, c, v = r[keep], c[keep], v[keep]
     used = np.unique(c)
-    sr, sc, sv = sparse(pairs)
+    sr, sc, sv = np.repeat(np.arange(len(swap_sizes), dtype=np.int32), swap_sizes), joined(opened(3, "<i4"), "<i4"), joined(opened(4, "<f4"), "<f4")
     place = np.full(FEATURES, -1)
     place[used] = np.arange(len(used))
     c = place[c]
@@ -164,7 +161,7 @@ def fit_counts(rows: list[tuple[tuple, int]], shrink: float = SHRINK, fairness:
         err = (p - labels) / n
         g = np.bincount(c, vs * err[r], len(used))
         if len(sr):
-            change = np.bincount(sr, ss * weight[sc], len(pairs))
+            change = np.bincount(sr, ss * weight[sc], len(swap_sizes))
             g += 2 * fairness / n * np.bincount(sc, ss * change[sr], len(used))
         gb = err.sum()
         momentum, velocity = 0.9 * momentum + 0.1 * g, 0.99 * velocity + 0.01 * g * g
@@ -200,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
             for doc_id, text, toxic in zip(b["doc_id"], b["text"], b["toxic"]):
                 yield doc_id, int(toxic), *counted(text)
 
-    got = fold_rows(texts, "doc_id long, toxic int, features array<int>, counts array<float>, swapped array<array<int>>, changes array<array<float>>", run, 64).collect()
+    got = fold_rows(texts, "doc_id long, toxic int, features binary, counts binary, sizes binary, swapped binary, changes binary", run, 64).collect()
     return fit_counts([(tuple(r)[2:], r[1]) for r in sorted(got, key=lambda r: r[0])])
 
 

@@ -539,6 +539,65 @@ def test_swapped_names_move_no_score():
     assert fair.score(text + " scum idiot") > 0.3
 
 
+def plain_toxicity(rows, fairness):
+    """The same penalised likelihood, one whole matrix of counts and the same steps, texts read word by word."""
+    names = sorted({f for t, _ in rows for w in toxicity.WORDS.findall(t.lower()) for f in toxicity.word_features(w)})
+    col = {f: k for k, f in enumerate(names)}
+
+    def vector(words):
+        out = np.zeros(len(names))
+        for w, n in words:
+            for f in toxicity.word_features(w):
+                if f in col:
+                    out[col[f]] += n
+        return out
+
+    bags = [Counter(toxicity.WORDS.findall(t.lower())) for t, _ in rows]
+    x, y = np.array([vector(b.items()) for b in bags]), np.array([float(l) for _, l in rows])
+    moved = []
+    for b in bags:
+        for g in toxicity.GROUPS:
+            for k, name in enumerate(g):
+                if b[name]:
+                    moved.append(vector([(name, b[name]), (g[(k + 1) % len(g)], -b[name])]))
+    met, n = (x > 0).sum(0), len(rows)
+    there = ((x > 0) * y[:, None]).sum(0)
+    z = (there / y.sum() - (met - there) / (n - y.sum())) / np.sqrt(met / n * (1 - np.clip(met / n, 0, 1 - 1e-9)) * (1 / y.sum() + 1 / (n - y.sum())))
+    keep = (abs(z) > toxicity.SCREEN) & (met >= 3)
+    x, swap = x[:, keep], np.array(moved)[:, keep]
+    size = np.sqrt((x**2).mean(0)) + 1e-9
+    x, swap = x / size, swap / size
+    weight, bias = np.zeros(x.shape[1]), math.log(y.mean() / (1 - y.mean()))
+    m, v, mb, vb = 0 * weight, 0 * weight, 0.0, 0.0
+    for t in range(1, toxicity.STEPS + 1):
+        err = (1 / (1 + np.exp(-(x @ weight + bias))) - y) / n
+        g = x.T @ err + 2 * fairness / n * swap.T @ (swap @ weight)
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2, 0.9 * mb + 0.1 * err.sum(), 0.99 * vb + 0.01 * err.sum() ** 2
+        rate = 0.05 / (1 + t / 100)
+        step = rate / (np.sqrt(v / (1 - 0.99**t)) + 3e-4)
+        weight = weight - step * m / (1 - 0.9**t)
+        weight = np.sign(weight) * np.maximum(abs(weight) - step * toxicity.SHRINK, 0)
+        bias -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-4)
+    full = dict(zip(np.array(names)[keep].tolist(), (weight / size).tolist()))
+    return lambda t: 1 / (1 + math.exp(-bias - sum(full.get(f, 0.0) for w in toxicity.WORDS.findall(t.lower()) for f in toxicity.word_features(w))))
+
+
+def test_toxicity_is_brute_force(spark):
+    """Scores of a fit on the cluster are those of a plain one, on rows that it saw and others."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(300):
+        bad = rng.random() < 0.4
+        w = [f"w{rng.randrange(80)}" for _ in range(rng.randrange(3, 30))] + rng.choices(["awful", "idiot", "scum"], k=2) * bad
+        rows.append((k, " ".join(w + rng.choices(["muslims", "christians", "Women", "juifs"], k=rng.randrange(2 + bad))), int(bad)))
+    df = documents(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(df, labels)
+    plain = plain_toxicity([(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2], toxicity.FAIRNESS)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(df, model).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-4 for i, t, _ in rows) and np.ptp(list(got.values())) > 0.5
+
+
 def test_toxicity_odd(spark, odd, nothing):
     df, rows = odd
     labels = spark.createDataFrame([(6, 0, 1), (9, 1, 0), (77, 0, 1), (8, 1, None)], "doc_id long, quality int, toxic int")
