@@ -169,6 +169,10 @@ class Index:
             return rows.select("shard", F.posexplode("ids").alias("label", "id")).select("shard", F.col("label").cast("long").alias("label"), "id")
         return rows.select(F.lit(0).alias("shard"), "label", "id")
 
+    def present(self) -> DataFrame:
+        """(shard, label, id) of all but the deleted vectors."""
+        return self.places().join(self.dead().distinct(), ["shard", "label"], "left_anti") if self.m.tombstones else self.places()
+
     def live(self) -> DataFrame:
         """(label, id, vector) and shard or cell of all but the deleted rows, which are taken out before any search counts to k. Vectors of codes are what the codes say."""
         rows = self._read(self.m.segments, self._schema())
@@ -198,8 +202,7 @@ class Index:
     def _apart(self, rows: DataFrame) -> None:
         """An error if the index holds one of these ids already."""
         if self.m.n_vectors > self.m.n_deleted:
-            own = self.places().join(self.dead().distinct(), ["shard", "label"], "left_anti") if self.m.tombstones else self.places()
-            if not own.join(rows.select("id"), "id", "left_semi").isEmpty():
+            if not self.present().join(rows.select("id"), "id", "left_semi").isEmpty():
                 raise ValueError(f"{self.m.id_col} must be unique: the index has some of these rows already")
 
     def covers(self, df: DataFrame) -> bool:
@@ -250,10 +253,7 @@ class Index:
     def delete(self, ids: DataFrame) -> Index:
         """Marks the rows of these ids (first column) deleted; unknown ids are ignored. Vectors count until vacuum."""
         gone = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct()
-        own = self.places()
-        if self.m.tombstones:
-            own = own.join(self.dead().distinct(), ["shard", "label"], "left_anti")
-        marks = written(own.join(gone, "id", "left_semi").select(F.col("shard").cast("int"), F.col("label").cast("long"), "id"), "marks")
+        marks = written(self.present().join(gone, "id", "left_semi").select(F.col("shard").cast("int"), F.col("label").cast("long"), "id"), "marks")
         n, mark = marks.agg(F.count(F.lit(1)), ids_mark(F.col("id"))).first()
         if n:
             self.m.tombstones.append(self._segment(marks.drop("id"), "tombstones"))

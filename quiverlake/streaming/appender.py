@@ -13,9 +13,8 @@ def append_stream(stream: DataFrame, index: Index, checkpoint: str, *, available
 
     def one(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates([index.m.id_col])
-        if index.m.n_vectors:
-            known = index._read(index.m.segments, index._schema()).selectExpr(f"id AS {index.m.id_col}")
-            fresh = fresh.join(known, index.m.id_col, "left_anti")
+        known = index.present().selectExpr(f"id AS {index.m.id_col}")
+        fresh = fresh.join(known, index.m.id_col, "left_anti")
         index.append(fresh)
 
     out = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

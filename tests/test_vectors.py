@@ -291,6 +291,18 @@ def test_cells_of_many_segments(spark):
     assert len(index.m.segments) == 7 and sorted(i for i, _ in pairs(index.search([1, 0, 0], 99))) == [1, 3, 4, 5, 6, 8, 9, 10]
 
 
+def test_streams_into_graphs(spark):
+    from quiverlake.streaming.appender import append_stream
+
+    index, path = made(spark, AXES, "DISKANN"), shared_dir(spark)
+    index.delete(frame(spark, AXES[:1]))
+    frame(spark, DOCS5).write.parquet(f"{path}/in")  # two of these the index has, one was deleted
+    for _ in range(2):
+        append_stream(spark.readStream.schema(frame(spark, AXES).schema).parquet(f"{path}/in"), index, f"{path}/at{_}").awaitTermination()
+    index.base = frame(spark, DOCS5)
+    assert sorted(pairs(index.search([1, 0, 0], 9))) == [(1, 0.0), (2, 2.0), (3, 2.0), (4, 0.5), (5, 1.5)]
+
+
 def test_batches_with_zero_rows(spark):
     rows = [(k, [0.0, 0.0]) for k in range(4000)] + [(4000 + k, [1.0, float(k)]) for k in range(5)]
     got = knn.nearest_pairs([(0, [1.0, 0.0]), (1, [0.0, 0.0])], frame(spark, rows), 10, metric="cosine", id_col="id")
