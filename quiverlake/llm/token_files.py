@@ -29,6 +29,8 @@ from .common import fold_rows, shared_dir, table
 SHARD_IDS, RARE, END = 1 << 18, 4, 0
 #: Characters that are encoded together, about; bytes of a piece that is compared as numbers, and of a word that merges with others at once.
 TEXT_CHARS, WIDE, LONG = 4_000_000, 24, 60
+#: Bits of the number of pieces whose ids a worker keeps, and their ids at most. A matter of memory, never of results.
+SLOTS, STORE = 19, 4_000_000
 #: Signs that are no white space in any library: a lone space or line feed between two of them is where the splitter always cuts.
 SAFE = "!-~\u00a1-\u167f"
 CUT = re.compile(f"(?<=[{SAFE}])(?=[ \n][{SAFE}])")
@@ -41,8 +43,8 @@ KINDS = np.zeros(256, np.int8)
 KINDS[33:127], KINDS[48:58], KINDS[39] = 3, 2, 0
 KINDS[65:91] = KINDS[97:123] = 1
 KINDS[0x80:0xC0], KINDS[[0x97, 0xB7]] = 4, 0
-#: A round takes pairs down to the most frequent one's count by this; bits of a round's table of pairs, and an odd factor that scatters them.
-SPAN, BITS, HASH = 16, 19, np.int64(0x1E3779B97F4A7C15)
+#: A round takes pairs down to the most frequent one's count by this; an odd factor that scatters pairs over a round's table.
+SPAN, HASH = 16, np.int64(0x1E3779B97F4A7C15)
 MAGIC = b"QRPG2\0\0\0"
 
 
@@ -141,6 +143,10 @@ class PieceEncoder:
         self._plain &= model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         self._merges = Merges(model) if self._plain else None
         self._plain &= self._merges is not None and bool((self._merges.bytes >= 0).all())
+        # pieces met lately: their bytes and size, and where their ids are
+        self._keys = [np.zeros(1 << SLOTS, np.uint64) for _ in range(WIDE // 8 + 1)]
+        self._begin, self._size = np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32)
+        self._store, self._used = np.zeros(STORE, np.int32), 0
         self._special = [t.content for t in self._own.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -195,8 +201,8 @@ class PieceEncoder:
         return flat[spread(begin[index], size[index])], total
 
     @staticmethod
-    def _distinct(raw: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """For each place of up to WIDE bytes the place of an equal one, the same for all that are equal; -1 for longer and empty ones."""
+    def _distinct(raw: bytes, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """For each place of up to WIDE bytes the place of an equal one, the same for all that are equal, -1 for longer and empty ones; its bytes and size as numbers; and a hash of these."""
         data = raw + bytes(WIDE)
         eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
         mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -205,6 +211,7 @@ class PieceEncoder:
         mixed = keys[0] * np.uint64(0x9E3779B97F4A7C15)
         for k in keys[1:]:
             mixed = (mixed ^ mixed >> np.uint64(29) ^ k) * np.uint64(0xBF58476D1CE4E5B9)
+        hashed = mixed.copy()
         out = np.full(len(starts), -1, np.int64)
         todo = np.flatnonzero((size > 0) & (size <= WIDE))
         bits = (4 * len(todo) + 1).bit_length()
@@ -217,7 +224,24 @@ class PieceEncoder:
             out[todo[same]] = first[same]
             todo = todo[~same]
             mixed[todo] = (mixed[todo] ^ mixed[todo] >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) + np.uint64(1)
-        return out
+        return out, keys, hashed
+
+    def _known(self, keys: list[np.ndarray], hashed: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pieces at `own` are kept from earlier texts, their slots)."""
+        slot = (hashed[own] >> np.uint64(64 - SLOTS)).astype(np.int64)
+        return np.logical_and.reduce([k[slot] == new[own] for k, new in zip(self._keys, keys)]), slot
+
+    def _keep(self, keys: list[np.ndarray], own: np.ndarray, slot: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Keeps the ids of pieces, each in place of what was in its slot; when the room is used up all are forgotten."""
+        if self._used + len(ids) > len(self._store):
+            self._keys[-1][:] = 0
+            self._used = 0
+        if len(ids) <= len(self._store):
+            for k, new in zip(self._keys, keys):
+                k[slot] = new[own]
+            self._begin[slot], self._size[slot] = self._used + np.cumsum(size) - size, size
+            self._store[self._used : self._used + len(ids)] = ids
+            self._used += len(ids)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         pieces: dict[str, int] = {}
@@ -232,20 +256,26 @@ class PieceEncoder:
                 some.append((k, head, cut[len(head) + 1 :]))
             else:
                 row[k] = np.array([-2 - put(p) for p in CUT.split(t)] if t else [], np.int64)
-        seen = [np.empty(0, np.int64)] * 2
+        flat, begin, size = (np.empty(0, np.int64) for _ in range(3))
         if some:
             raw = " ".join(x[2] for x in some).encode()
             space = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
             starts, ends = np.concatenate([[0], space + 1]), np.concatenate([space, [len(raw)]])
-            same = self._distinct(raw, starts, ends - starts)
+            same, keys, hashed = self._distinct(raw, starts, ends - starts)
             own = np.flatnonzero(same == np.arange(len(same)))
-            if self._plain:
-                good, *seen = self._visible(np.frombuffer(raw, np.uint8), starts[own], (ends - starts)[own])
-            else:
-                good = np.zeros(len(own), bool)
-            # places of pieces in the end: those that _visible knows, then the others, counted down from -2; -1 for what can't be cut there
+            good, slot = self._known(keys, hashed, own)
+            held, new = np.flatnonzero(good), np.flatnonzero(~good)
+            flat, begin, size = self._store[: self._used], self._begin[slot[held]], self._size[slot[held]]
+            place = held
+            if self._plain and len(new):
+                fit, ids, many = self._visible(np.frombuffer(raw, np.uint8), starts[own[new]], (ends - starts)[own[new]])
+                good[new[fit]] = True
+                place = np.concatenate([held, new[fit]])
+                flat, begin, size = np.concatenate([flat, ids]), np.concatenate([begin, len(flat) + np.cumsum(many) - many]), np.concatenate([size, many])
+                self._keep(keys, own[new[fit]], slot[new[fit]], ids, many)
+            # places of pieces in the end: those whose ids are here, then the others, counted down from -2; -1 for what can't be cut there
             index = np.full(len(starts), -1, np.int64)
-            index[own[good]] = np.arange(int(good.sum()))
+            index[own[place]] = np.arange(len(place))
             for at in [*own[~good].tolist(), *np.flatnonzero((same < 0) & (ends > starts)).tolist()]:
                 p = raw[starts[at] : ends[at]].decode()
                 if REGULAR.fullmatch(p):
@@ -258,10 +288,10 @@ class PieceEncoder:
                     row[k] = np.array([-2 - put(p) for p in CUT.split(texts[k])], np.int64)
                 else:
                     row[k] = np.concatenate([[-2 - put(head)], index[a:z]])
-        flat, size = (np.concatenate(x) for x in zip(seen, self._pieces(list(pieces))))
-        begin = np.cumsum(size) - size
+        here, (ids, many) = len(size), self._pieces(list(pieces))
+        flat, begin, size = np.concatenate([flat, ids]), np.concatenate([begin, len(flat) + np.cumsum(many) - many]), np.concatenate([size, many])
         order = np.concatenate([r for r in row if r is not None] or [np.empty(0, np.int64)]).astype(np.int64)
-        order = np.where(order < 0, len(seen[1]) - 2 - order, order)
+        order = np.where(order < 0, here - 2 - order, order)
         ids = flat[spread(begin[order], size[order])].astype("<u4").tobytes()
         upto, out, at, i = np.concatenate([[0], np.cumsum(size[order])]), [], 0, 0
         for k, r in enumerate(row):
@@ -315,15 +345,17 @@ def repair(ids: np.ndarray, ends: np.ndarray, rare: int = RARE) -> tuple[np.ndar
     last[ends - 1] = True
     first = symbols = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    bins, factor = np.zeros(1 << BITS, np.int64), HASH
+    factor = HASH
     some = np.flatnonzero(~last[:-1])
     while len(some):
         pair = seq[some].astype(np.int64) << 32 | seq[some + 1]
-        bin_ = ((pair * factor) >> np.int64(63 - BITS)) & np.int64((1 << BITS) - 1)
+        room = 1 << max(10, min(22, (len(some) // 2).bit_length() + 1))
+        bin_ = pair * factor >> np.int64(40) & np.int64(room - 1)
         # a bin stands for one of its pairs; another that falls into it waits for a later round
+        bins = np.zeros(room, np.int64)
         bins[bin_] = pair
         own = bins[bin_] == pair
-        counts = np.bincount(bin_[own], minlength=1 << BITS)
+        counts = np.bincount(bin_[own], minlength=room)
         count = np.where(own, counts[bin_], 0)
         top = int(count.max())
         if top < rare:
@@ -336,7 +368,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, rare: int = RARE) -> tuple[np.ndar
         begin[1:] = np.diff(place) > 1
         offset = np.arange(len(place)) - np.maximum.accumulate(np.where(begin, np.arange(len(place)), 0))
         place, used = place[offset % 2 == 0], used[offset % 2 == 0]
-        met = np.zeros(1 << BITS, bool)
+        met = np.zeros(room, bool)
         met[used] = True
         chosen = np.flatnonzero(met)
         counts[chosen] = np.arange(len(chosen))
@@ -508,6 +540,7 @@ def default_vocabulary() -> str:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, sizes and checksums of every document, read back from the files it was written to; odd rows as write_token_files says."""
     path = shared_dir(spark) + "/tokens.parquet"
     write_token_files(table(spark, sf_dir, "documents"), default_vocabulary(), path)
     return token_file_digests(read_token_files(spark, path))
