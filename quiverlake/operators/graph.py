@@ -23,6 +23,8 @@ from ..functions import vectors as V
 
 #: Rows of a shard, about; queries that walk a shard together.
 SHARD_ROWS, TOGETHER = 5_000, 256
+#: Vectors whose distances are kept as a table while their graph is built (4 bytes a pair).
+TABLE_ROWS = 8_000
 
 
 @dataclass(frozen=True)
@@ -76,11 +78,12 @@ def best_first(vectors: np.ndarray, adjacency: np.ndarray, entries: Sequence[int
         return list(zip(_near(vectors[nodes], q, metric).tolist(), nodes.tolist()))
 
     heap = scored(np.unique(np.array(entries)))
-    result = sorted(x for x in heap if allowed is None or allowed[x[1]])[:size]
+    result = [(-d, -x) for d, x in sorted(x for x in heap if allowed is None or allowed[x[1]])[:size]]  # a heap, the last member first
+    heapq.heapify(result)
     heapq.heapify(heap)
     while heap:
         dist, node = heapq.heappop(heap)
-        if len(result) >= size and dist > result[-1][0]:
+        if len(result) >= size and dist > -result[0][0]:
             break
         near = adjacency[node]
         near = near[near >= 0]
@@ -93,30 +96,30 @@ def best_first(vectors: np.ndarray, adjacency: np.ndarray, entries: Sequence[int
                 near = other
                 seen[other] = False
         fresh = scored(near[~seen[near]])
-        bar = result[-1][0] if len(result) >= size else np.inf
+        bar = -result[0][0] if len(result) >= size else np.inf
         for item in fresh:
             if item[0] < bar:
                 heapq.heappush(heap, item)
                 if allowed is None or allowed[item[1]]:
-                    result.append(item)
-        result.sort()
-        del result[size:]
-    return result
+                    (heapq.heappush if len(result) < size else heapq.heappushpop)(result, (-item[0], -item[1]))
+    return sorted((-d, -x) for d, x in result)
 
 
-def walk_many(vectors: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, queries: np.ndarray, size: int, metric: str) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def walk_many(vectors: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, queries: np.ndarray, size: int, metric: str, near_of: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """(nodes, distances, steps) of all queries' walks in lock-step: a row of `size` results each, nearest first, -1 and infinity beyond what was found.
 
     entries has a row of entry points for each query. In a step every query that
     isn't done expands its nearest open candidate; steps are (queries, nodes, distances).
+    near_of: distances of queries (by number) and nodes, where they are known.
     """
+    near_of = near_of or (lambda q, x: _near(vectors[x], queries[q], metric))
     nq, rows = len(queries), np.arange(len(queries))
     width = max(size, entries.shape[1])
     seen = np.zeros((nq, len(vectors)), bool)
     node, dist, open_ = np.full((nq, width), -1), np.full((nq, width), np.inf), np.zeros((nq, width), bool)
     m = entries.shape[1]
     node[:, :m], open_[:, :m] = entries, True
-    dist[:, :m] = _near(vectors[entries], queries[:, None, :], metric)
+    dist[:, :m] = near_of(np.arange(nq)[:, None], entries)
     np.put_along_axis(seen, entries, True, 1)
     order = np.argsort(dist, 1, kind="stable")
     node, dist, open_ = (np.take_along_axis(x, order, 1)[:, :size] for x in (node, dist, open_))
@@ -138,7 +141,7 @@ def walk_many(vectors: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, q
         to = near[r, c]
         seen[rows[r], to] = True
         d = np.full(near.shape, np.inf)
-        d[r, c] = _near(vectors[to], queries[rows[r]], metric)
+        d[r, c] = near_of(rows[r], to)
         all_d = np.concatenate([dist[rows], d], 1)
         take = np.argsort(all_d, 1, kind="stable")[:, :size]
         dist[rows] = np.take_along_axis(all_d, take, 1)
@@ -147,40 +150,81 @@ def walk_many(vectors: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, q
     return node, dist, steps
 
 
-def prune(vectors: np.ndarray, node: int, pool: np.ndarray, p: GraphParams) -> np.ndarray:
-    """Neighbours of a node out of a pool of nodes: nearest first, none that a kept one occludes; the bar rises to alpha in steps while there is room."""
-    pool = np.unique(pool)
-    pool = pool[pool != node]
-    dist = _near(vectors[pool], vectors[node], p.metric)
-    order = np.argsort(dist, kind="stable")[: p.pool]
-    ids, dist = pool[order], dist[order]
-    if not len(ids):
-        return ids
-    own = vectors[ids]
-    occlusion, taken, kept = np.zeros(len(ids)), np.zeros(len(ids), bool), 0
+def between(vectors: np.ndarray, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Distances between nodes, by their numbers (arrays that broadcast). Those of a shard are looked up in a table of all, made by matrix products;
+    as only their ratios count, vectors are scaled, and moved for L2. What cancels in the products is computed from the differences."""
+    n = len(vectors)
+    if n <= TABLE_ROWS:
+        v = vectors - vectors.mean(0) if metric == "l2" and n else vectors
+        v = v / (np.abs(v).max(initial=0.0) or 1.0)
+        table, sq = np.empty((n, n), np.float32), np.einsum("ij,ij->i", v, v)
+        for lo in range(0, n, 512):
+            some = v[lo : lo + 512] @ v.T
+            if metric == "l2":
+                both = sq[lo : lo + 512, None] + sq
+                some = both - 2 * some
+                a, b = np.nonzero(some <= 1e-9 * both)
+                for at in range(0, len(a), 1 << 16):
+                    x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                    some[x, y] = _near(v[lo + x], v[y], metric)
+            else:
+                some = 1 - some / (np.sqrt(sq[lo : lo + 512, None] * sq) + 1e-30) if metric == "cosine" else -some
+            table[lo : lo + 512] = some
+        if np.isfinite(table).all():
+            return lambda a, b: table[a, b]
+    return lambda a, b: _near(vectors[a], vectors[b], metric)
+
+
+def prune(near_of: Callable[[np.ndarray, np.ndarray], np.ndarray], nodes: np.ndarray, row: np.ndarray, pool: np.ndarray, p: GraphParams) -> np.ndarray:
+    """Neighbours of many nodes out of their pools, a row of max_degree for each node, -1 beyond the last: nearest first, none that a kept one occludes; the bar rises to alpha in steps while there is room.
+
+    pool[i] may become a neighbour of nodes[row[i]]. All nodes go in lock-step, a neighbour each in a step.
+    """
+    out = np.full((len(nodes), p.max_degree), -1)
+    span = int(pool.max(initial=0)) + 1
+    row, pool = np.divmod(np.unique(row * span + pool), span)
+    other = pool != nodes[row]
+    row, pool = row[other], pool[other]
+    dist = near_of(pool, nodes[row])
+    order = np.lexsort((dist, row))
+    row, pool, dist = row[order], pool[order], dist[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    inside = place < p.pool
+    row, pool, dist, place = row[inside], pool[inside], dist[inside], place[inside]
+    if not len(row):
+        return out
+    shape = (len(nodes), int(place.max()) + 1)
+    ids, far, free = np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape, bool)
+    ids[row, place], far[row, place], free[row, place] = pool, dist, True
+    occlusion, taken, kept, cols = np.zeros(shape), np.zeros(shape, bool), np.zeros(len(nodes), np.int64), np.arange(shape[1])
     bar = 1.0
     while True:
-        for k in range(len(ids)):
-            if kept >= p.max_degree:
+        at = np.flatnonzero(kept < p.max_degree)
+        while len(at):
+            open_ = free[at] & (occlusion[at] <= bar)
+            k = open_.argmax(1)
+            more = open_[np.arange(len(at)), k]
+            at, k = at[more], k[more]
+            if not len(at):
                 break
-            if taken[k] or occlusion[k] > bar:
-                continue
-            taken[k] = True
-            kept += 1
-            if k + 1 < len(ids):
-                between = _near(own[k + 1 :], own[k], p.metric)
-                if p.metric == "ip":
-                    occlusion[k + 1 :] = np.where(between < bar * dist[k + 1 :], np.maximum(occlusion[k + 1 :], bar + 0.01), occlusion[k + 1 :])
-                else:
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        ratio = np.where(between > 0, dist[k + 1 :] / between, np.inf)
-                    occlusion[k + 1 :] = np.maximum(occlusion[k + 1 :], ratio)
-        if bar >= p.alpha or kept >= p.max_degree:
+            free[at, k], taken[at, k] = False, True
+            kept[at] += 1
+            apart = near_of(ids[at], ids[at, k][:, None])
+            if p.metric == "ip":
+                new = np.where(apart < bar * far[at], bar + 0.01, 0.0)
+            else:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    new = np.where(apart > 0, far[at] / apart, np.inf)
+            occlusion[at] = np.where(cols > k[:, None], np.maximum(occlusion[at], new), occlusion[at])
+            at = at[kept[at] < p.max_degree]
+        if bar >= p.alpha or (kept >= p.max_degree).all():
             break
         bar = min(p.alpha, bar * min(p.alpha, 1.2)) if p.alpha > 1 else p.alpha
     if p.saturate:
-        taken[np.flatnonzero(~taken)[: p.max_degree - kept]] = True
-    return ids[taken]
+        taken |= free & (np.cumsum(free, 1) <= (p.max_degree - kept)[:, None])
+    r, c = np.nonzero(taken)
+    out[r, np.arange(len(r)) - np.searchsorted(r, r)] = ids[r, c]
+    return out
 
 
 def start_points(vectors: np.ndarray, kind: str, n: int = 1, seed: int = 0) -> np.ndarray:
@@ -216,42 +260,55 @@ def build(vectors: np.ndarray, p: GraphParams, entries: Sequence[int] = (0,)) ->
     adjacency = np.full((n, room + 1), -1)
     entries = np.unique(np.array(entries, np.int64))
     order = np.concatenate([entries, np.setdiff1d(np.arange(n), entries)])
+    near_of = between(vectors, p.metric)
 
-    def put(x: int, own: np.ndarray) -> None:
-        if len(own) > room:
-            own = prune(vectors, x, own, p)
-        adjacency[x] = -1
-        adjacency[x, : len(own)] = own
+    def put(nodes: np.ndarray, row: np.ndarray, pool: np.ndarray) -> None:
+        adjacency[nodes] = -1
+        adjacency[nodes, : p.max_degree] = prune(near_of, nodes, row, pool, p)
+
+    def cut(nodes: np.ndarray) -> None:
+        """Prunes the lists of these nodes."""
+        row, place = np.nonzero(adjacency[nodes] >= 0)
+        put(nodes, row, adjacency[nodes[row], place])
 
     for x in entries:
-        put(int(x), entries[entries != x])
+        own = entries[entries != x]
+        if len(own) > room:
+            put(np.array([x]), np.zeros(len(own), np.int64), own)
+        else:
+            adjacency[x, : len(own)] = own
     done = len(entries)
     while done < n:
         batch = order[done : done + max(1, min(p.minibatch, done // 4))]
         size = p.build_complexity
         for _ in range(1 + p.retries):
-            _, _, steps = walk_many(vectors, adjacency, np.tile(entries, (len(batch), 1)), vectors[batch], size, p.metric)
+            _, _, steps = walk_many(vectors, adjacency, np.tile(entries, (len(batch), 1)), vectors[batch], size, p.metric, lambda q, x, batch=batch: near_of(x, batch[q]))
             who, met = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
             if np.bincount(who, minlength=len(batch)).min() >= min(p.max_degree, done):
                 break
             size *= 2
-        back: dict[int, list[int]] = {}
-        for j, x in enumerate(batch.tolist()):
-            put(x, prune(vectors, x, np.concatenate([met[who == j], batch]), p))
-            for y in adjacency[x][adjacency[x] >= 0].tolist():
-                back.setdefault(y, []).append(x)
-        for y, new in back.items():
-            own = adjacency[y][adjacency[y] >= 0]
-            put(y, np.concatenate([own, np.setdiff1d(new, own)]))
-        done += len(batch)
-    for x in np.flatnonzero((adjacency >= 0).sum(1) > p.max_degree).tolist():
-        put(x, prune(vectors, x, adjacency[x][adjacency[x] >= 0], p))
+        m = len(batch)
+        put(batch, np.concatenate([who, np.repeat(np.arange(m), m)]), np.concatenate([met, np.tile(batch, m)]))
+        row, place = np.nonzero(adjacency[batch] >= 0)
+        new, to = batch[row], adjacency[batch[row], place]
+        other = ~(adjacency[to] == new[:, None]).any(1)
+        order_ = np.lexsort((new[other], to[other]))
+        new, to = new[other][order_], to[other][order_]
+        place = (adjacency[to] >= 0).sum(1) + np.arange(len(to)) - np.searchsorted(to, to)
+        full = np.unique(to[place >= room])
+        over = np.isin(to, full)
+        adjacency[to[~over], place[~over]] = new[~over]
+        if len(full):
+            row, place = np.nonzero(adjacency[full] >= 0)
+            put(full, np.concatenate([row, np.searchsorted(full, to[over])]), np.concatenate([adjacency[full[row], place], new[over]]))
+        done += m
+    cut(np.flatnonzero((adjacency >= 0).sum(1) > p.max_degree))
     return connected(adjacency, entries)
 
 
-def reached(adjacency: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Flags of the nodes that the entry points lead to."""
-    seen, front = np.zeros(len(adjacency), bool), np.asarray(entries)
+def reached(adjacency: np.ndarray, entries: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """Flags of the nodes that the entry points lead to; added to `seen`, where that is given, and not beyond it."""
+    seen, front = np.zeros(len(adjacency), bool) if seen is None else seen, np.asarray(entries)
     seen[front] = True
     while len(front):
         front = np.unique(adjacency[front])
@@ -263,17 +320,16 @@ def reached(adjacency: np.ndarray, entries: np.ndarray) -> np.ndarray:
 
 def connected(adjacency: np.ndarray, entries: np.ndarray) -> np.ndarray:
     """The adjacency with an edge more to each node that no walk would reach."""
-    while len(adjacency):
-        seen = reached(adjacency, entries)
-        lost = np.flatnonzero(~seen)
-        if not len(lost):
-            break
-        from_ = int(np.flatnonzero(seen)[np.searchsorted(np.flatnonzero(seen), lost[0]) - 1])
+    seen, x = reached(adjacency, entries), 0
+    while not seen.all():
+        x += int(seen[x:].argmin())  # all before it are reached
+        from_ = x - 1 if x else int(np.flatnonzero(seen)[-1])
         free = np.flatnonzero(adjacency[from_] < 0)
         if not len(free):
             adjacency = np.concatenate([adjacency, np.full((len(adjacency), 1), -1)], 1)
             free = [adjacency.shape[1] - 1]
-        adjacency[from_, free[0]] = lost[0]
+        adjacency[from_, free[0]] = x
+        reached(adjacency, np.array([x]), seen)
     return adjacency[:, : max(1, int((adjacency >= 0).sum(1).max(initial=0)))]
 
 
@@ -349,7 +405,10 @@ class Shard:
         for lo in range(0, len(queries), TOGETHER):
             some = queries[lo : lo + TOGETHER]
             start = self.begin(some, metric)
-            if len(some) == 1 or size >= 1000 or allowed is not None:
+            if size == len(self.ids) and allowed is None:  # such walks end with all that they reach
+                ends = {tuple(e): np.flatnonzero(reached(self.adjacency, e)) for e in np.unique(start, axis=0)}
+                yield from (ends[tuple(e)] for e in start)
+            elif len(some) == 1 or size >= 1000 or allowed is not None:
                 for q, e in zip(some, start):
                     yield np.array([x for _, x in best_first(self.vectors, self.adjacency, e.tolist(), q, size, metric, allowed)], np.int64)
             else:
@@ -362,6 +421,7 @@ class Shard:
         gone[labels] = True
         kept = np.flatnonzero(~gone)
         adjacency = np.full((len(self.ids), max(self.adjacency.shape[1], p.max_degree)), -1)
+        torn: list[tuple[int, list[int]]] = []
         for x in kept.tolist():
             own = self.adjacency[x][self.adjacency[x] >= 0]
             todo, met = own[gone[own]], set()
@@ -373,8 +433,15 @@ class Shard:
                     two = np.unique(two[two >= 0])
                     pool += two[~gone[two]].tolist()
                     todo = np.array([y for y in two[gone[two]].tolist() if y not in met], np.int64) if not pool else np.empty(0, np.int64)
-                own = prune(self.vectors, x, np.array(pool, np.int64), p)
-            adjacency[x, : len(own)] = own
+                torn.append((x, pool))
+            else:
+                adjacency[x, : len(own)] = own
+        near_of = between(self.vectors, p.metric) if torn else None
+        for lo in range(0, len(torn), TOGETHER):
+            some = torn[lo : lo + TOGETHER]
+            row = np.repeat(np.arange(len(some)), [len(pool) for _, pool in some])
+            nodes = np.array([x for x, _ in some])
+            adjacency[nodes, : p.max_degree] = prune(near_of, nodes, row, np.array([y for _, pool in some for y in pool], np.int64), p)
         place = np.cumsum(~gone) - 1
         small = adjacency[kept]
         small = np.where(small >= 0, place[np.maximum(small, 0)], -1)
@@ -409,13 +476,16 @@ def build_graph(df: DataFrame, params: GraphParams, *, id_col: str = "vec_id", v
     rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vector"), attr.alias("attr"))
     shards = shards or max(1, -(-rows.count() // SHARD_ROWS))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        vectors = np.array(pdf["vector"].tolist(), np.float32).astype(np.float64)
-        attrs = pdf["attr"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64) if attr_col else None
-        return Shard.made(pdf["id"].to_numpy(np.int64), vectors, params, attrs, sq8).row(int(pdf["shard"].iloc[0]))
+    def made(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(pdfs)
+        for shard, pdf in pd.concat(got).groupby("shard") if got else ():  # one, as a rule
+            pdf = pdf.sort_values("id", kind="stable")
+            vectors = np.array(pdf["vector"].tolist(), np.float32).astype(np.float64)
+            attrs = pdf["attr"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64) if attr_col else None
+            yield Shard.made(pdf["id"].to_numpy(np.int64), vectors, params, attrs, sq8).row(int(shard))
 
-    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, SHARDS)
+    # a task each: dealt by a hash of the shard, some tasks would have several and others none
+    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").mapInPandas(made, SHARDS)
 
 
 def rows_of(shards: DataFrame) -> DataFrame:

@@ -229,6 +229,31 @@ def test_files(spark):
     assert [binary_formats.sample_size(n) for n in (10, 2000, 4_000_000)] == [10, 1000, 2000]
 
 
+def test_walks_over_all_nodes_are_linear():
+    """A list of all nodes, or nearly all, isn't sorted at each step."""
+    import time
+
+    rng, n = np.random.default_rng(2), 60_000
+    v, ring = rng.random((n, 2)), np.stack([(np.arange(n) + 1) % n, rng.integers(0, n, n)], 1)
+    s, began = graph.Shard(np.arange(n), v, ring, np.array([0])), time.time()
+    (whole,) = s.search(v[:1], 10**6, "l2")
+    assert sorted(whole.tolist()) == list(range(n))
+    most = graph.best_first(v, ring, [0], v[0], n - 1, "l2")
+    assert len(most) == n - 1 and most == sorted(most) and most[0] == (0.0, 0)
+    assert time.time() - began < 15
+
+
+def test_a_file_reaches_all_its_vectors(spark):
+    """Edges over the largest degree aren't in the file; what they led to is reached without them. Copies have their edges from one place."""
+    path, rng = shared_dir(spark), np.random.default_rng(4)
+    v = np.concatenate([rng.random((200, 16), np.float32), np.full((100, 16), 0.5, np.float32)])
+    files.put(spark, f"{path}/v.bin", binary_formats.vector_bytes(v))
+    binary_formats.streaming_build(spark, f"{path}/v.bin", f"{path}/g", max_degree=4, build_complexity=8)
+    vectors, adjacency, entries, p = binary_formats.parse_graph(files.get(spark, f"{path}/g"))
+    assert (vectors == v).all() and adjacency.shape == (300, 4) and p.max_degree == 4
+    assert graph.reached(adjacency, np.array(entries)).all()
+
+
 def test_hybrid(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue"), (4, None)], "doc_id long, text string")
     assert [(r.id, r.rank) for r in hybrid.bm25_top(docs, "Red!", 9).orderBy("rank").collect()] == [(2, 1), (1, 2)]
