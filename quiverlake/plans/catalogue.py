@@ -710,8 +710,7 @@ def _(spark, sf):
 
 def vector_file(spark, sf) -> str:
     path = shared_dir(spark) + "/vectors.bin"
-    some = rows(spark, sf).select("vec_id", "embedding").orderBy("vec_id").collect()
-    files.put(spark, path, binary_formats.vector_bytes(np.array([r[1] for r in some], np.float32)))
+    binary_formats.write_vectors(spark, rows(spark, sf), path)
     return path
 
 

@@ -254,6 +254,28 @@ def test_a_file_reaches_all_its_vectors(spark):
     assert graph.reached(adjacency, np.array(entries)).all()
 
 
+def test_graph_files_of_many_cells(spark, monkeypatch):
+    """A file of more vectors than a shard holds is built by cells, whose graphs are merged into one that walks find their way in."""
+    monkeypatch.setattr(graph, "SHARD_ROWS", 80)
+    path, v = shared_dir(spark), np.random.default_rng(6).random((600, 6), np.float32)
+    binary_formats.write_vectors(spark, frame(spark, reversed(list(enumerate(v.tolist())))), f"{path}/v.bin", id_col="id")
+    assert files.get(spark, f"{path}/v.bin") == binary_formats.vector_bytes(v)
+    got = binary_formats.streaming_build(spark, f"{path}/v.bin", f"{path}/g", max_degree=8, build_complexity=16, sample=90)
+    assert tuple(got.first()) == (600, 6, 90)
+    vectors, adjacency, entries, p = binary_formats.parse_graph(files.get(spark, f"{path}/g"))
+    assert (vectors == v).all() and graph.reached(adjacency, np.array(entries)).all()
+    queries = [(k, v[k].tolist()) for k in range(0, 600, 20)]
+    found = graph.graph_search(binary_formats.read_graph(spark, f"{path}/g"), queries, 10, search_complexity=60, params=p)
+    assert graph.recall(found, knn.nearest_pairs(queries, frame(spark, list(enumerate(v.tolist()))), 10, id_col="id")).first()[0] >= 0.9
+
+
+def test_lists_are_merged_in_turns_and_tied():
+    row, got = binary_formats.merged(np.array([7, 5, 7]), np.array([[1, 2, 3], [4, -1, -1], [2, 9, -1]]), 4)
+    assert row.tolist() == [5, 7] and got.tolist() == [[4, -1, -1, -1], [1, 2, 9, 3]]
+    far = np.array([[1], [0], [3], [2], [4]])  # three parts that know nothing of each other, no place free
+    assert graph.reached(binary_formats.tied(far, 0), np.array([0])).all() and far.shape == (5, 1)
+
+
 def test_hybrid(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue"), (4, None)], "doc_id long, text string")
     assert [(r.id, r.rank) for r in hybrid.bm25_top(docs, "Red!", 9).orderBy("rank").collect()] == [(2, 1), (1, 2)]
