@@ -25,6 +25,8 @@ from ..functions import vectors as V
 SHARD_ROWS, TOGETHER = 5_000, 256
 #: Vectors whose distances are kept as a table while their graph is built (4 bytes a pair).
 TABLE_ROWS = 8_000
+#: Hits of a shard whose exact distances are taken together, about.
+HELD = 50_000
 
 
 @dataclass(frozen=True)
@@ -140,13 +142,15 @@ def walk_many(vectors: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, q
             continue
         to = near[r, c]
         seen[rows[r], to] = True
-        d = np.full(near.shape, np.inf)
-        d[r, c] = near_of(rows[r], to)
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        shape = (len(rows), int(place.max()) + 1)
+        d, new, own = np.full(shape, np.inf), np.full(shape, -1), np.arange(len(rows))[:, None]
+        d[r, place], new[r, place] = near_of(rows[r], to), to
         all_d = np.concatenate([dist[rows], d], 1)
         take = np.argsort(all_d, 1, kind="stable")[:, :size]
-        dist[rows] = np.take_along_axis(all_d, take, 1)
-        node[rows] = np.take_along_axis(np.concatenate([node[rows], np.where(fresh, near, -1)], 1), take, 1)
-        open_[rows] = np.take_along_axis(np.concatenate([open_[rows], fresh], 1), take, 1)
+        dist[rows] = all_d[own, take]
+        node[rows] = np.concatenate([node[rows], new], 1)[own, take]
+        open_[rows] = np.concatenate([open_[rows], new >= 0], 1)[own, take]
     return node, dist, steps
 
 
@@ -185,7 +189,7 @@ def prune(near_of: Callable[[np.ndarray, np.ndarray], np.ndarray], nodes: np.nda
     row, pool = np.divmod(np.unique(row * span + pool), span)
     other = pool != nodes[row]
     row, pool = row[other], pool[other]
-    dist = near_of(pool, nodes[row])
+    dist = near_of(nodes[row], pool)
     order = np.lexsort((dist, row))
     row, pool, dist = row[order], pool[order], dist[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -209,7 +213,7 @@ def prune(near_of: Callable[[np.ndarray, np.ndarray], np.ndarray], nodes: np.nda
                 break
             free[at, k], taken[at, k] = False, True
             kept[at] += 1
-            apart = near_of(ids[at], ids[at, k][:, None])
+            apart = near_of(ids[at, k][:, None], ids[at])  # within a row of the table each
             if p.metric == "ip":
                 new = np.where(apart < bar * far[at], bar + 0.01, 0.0)
             else:
@@ -282,7 +286,7 @@ def build(vectors: np.ndarray, p: GraphParams, entries: Sequence[int] = (0,)) ->
         batch = order[done : done + max(1, min(p.minibatch, done // 4))]
         size = p.build_complexity
         for _ in range(1 + p.retries):
-            _, _, steps = walk_many(vectors, adjacency, np.tile(entries, (len(batch), 1)), vectors[batch], size, p.metric, lambda q, x, batch=batch: near_of(x, batch[q]))
+            _, _, steps = walk_many(vectors, adjacency, np.tile(entries, (len(batch), 1)), vectors[batch], size, p.metric, lambda q, x, batch=batch: near_of(batch[q], x))
             who, met = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
             if np.bincount(who, minlength=len(batch)).min() >= min(p.max_degree, done):
                 break
@@ -505,20 +509,32 @@ def hits(shards: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int,
     good = [(i, np.array(q, np.float64)) for i, q in queries if q is not None and all(x is not None for x in q)]
 
     def one(shard: int, s: Shard) -> pd.DataFrame | None:
-        from .knn import matrix_distances
+        from .knn import pair_values
 
         own = [(i, q) for i, q in good if len(q) == s.vectors.shape[1]]
         if not own or not len(s.ids):
             return None
         allowed = None if attr is None else s.attr == attr if s.attr is not None else np.zeros(len(s.ids), bool)
-        out = []
-        for (i, q), at in zip(own, s.search(np.array([q for _, q in own]), size, p.metric, allowed)):
-            if len(at):
-                exact = matrix_distances(p.metric, q[None, :], s.vectors[at])[0]
-                near = exact if p.metric == "l2" else -exact
-                for x in np.lexsort((s.ids[at], near))[:k].tolist():
-                    out.append((i, int(s.ids[at[x]]), float(exact[x] if p.metric != "ip" else near[x]), shard, int(at[x])))
-        return pd.DataFrame(out, columns=["query_idx", "id", "_distance", "shard", "label"])
+        numbers, matrix = np.array([i for i, _ in own], np.int64), np.array([q for _, q in own])
+        out, held = [], []
+
+        def flush() -> None:
+            which, at = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            exact = pair_values(p.metric, matrix, which, s.vectors, at)
+            near = exact if p.metric == "l2" else -exact
+            order = np.lexsort((s.ids[at], near, which))
+            order = order[np.arange(len(order)) - np.searchsorted(which[order], which[order]) < k]
+            which, at = which[order], at[order]
+            out.append(pd.DataFrame({"query_idx": numbers[which], "id": s.ids[at], "_distance": (exact if p.metric != "ip" else near)[order], "shard": shard, "label": at}))
+
+        for j, at in enumerate(s.search(matrix, size, p.metric, allowed)):
+            held.append((np.full(len(at), j), at))
+            if sum(len(x) for _, x in held) >= HELD or len(held) == TOGETHER:
+                flush()
+        if held:
+            flush()
+        return pd.concat(out)
 
     return each(shards, one, "query_idx long, id long, _distance double, shard int, label int")
 

@@ -95,6 +95,20 @@ def matrix_distances(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.n
     return out
 
 
+def pair_values(metric: str, queries: np.ndarray, which: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values of matrix_distances for pairs alone: queries[which[i]] and rows[at[i]]."""
+    out, sq, sr = np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at))
+    for d in range(queries.shape[1]):
+        a, b = queries[which, d], rows[at, d]
+        out += (b - a) * (b - a) if metric == "l2" else b * a
+        if metric == "cosine":
+            sq, sr = sq + a * a, sr + b * b
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = out / (np.sqrt(sr) * np.sqrt(sq))
+    return out
+
+
 def approximate(metric: str, queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values by norms and a matrix product, small is near, NaN for what has no value; a bound for each query on how far they are from matrix_distances)."""
     unit = 8 * (queries.shape[1] + 2) * np.finfo(np.float64).eps

@@ -659,7 +659,7 @@ def _(spark, sf):
     from dataclasses import replace
 
     many = [(r[0], r[1]) for r in rows(spark, sf).where(F.col("vec_id") % EACH == 0).select("vec_id", "embedding").collect()]
-    exact, got = knn.nearest_pairs(many, rows(spark, sf), 10), None
+    exact, got = written(knn.nearest_pairs(many, rows(spark, sf), 10), "exact"), None  # once, not for each kind
     for kind in ("medoid", "random", "sample", "latin", "layers"):
         p = replace(PARAMS, layers=True) if kind == "layers" else replace(PARAMS, start=kind, starts=4)
         g = written(graph.build_graph(rows(spark, sf), p), "graph")

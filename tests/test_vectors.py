@@ -276,6 +276,46 @@ def test_lists_are_merged_in_turns_and_tied():
     assert graph.reached(binary_formats.tied(far, 0), np.array([0])).all() and far.shape == (5, 1)
 
 
+def test_neighbours_of_many_nodes_are_those_of_each(monkeypatch):
+    """Lists pruned in lock-step over a table of distances are those pruned alone from the vectors."""
+    v, rng = np.random.default_rng(8).normal(size=(120, 6)), np.random.default_rng(9)
+    v[40:50] = v[40]  # copies
+    for metric in ("l2", "ip", "cosine"):
+        p = graph.GraphParams(max_degree=6, build_complexity=20, metric=metric)
+        near_of, nodes = graph.between(v, metric), np.arange(30, 60)
+        pools = [rng.integers(0, 120, 40) for _ in nodes]
+        many = graph.prune(near_of, nodes, np.repeat(np.arange(30), 40), np.concatenate(pools), p)
+        monkeypatch.setattr(graph, "TABLE_ROWS", 0)
+        direct = graph.between(v, metric)
+        assert [graph.prune(direct, nodes[k : k + 1], np.zeros(40, int), x, p)[0].tolist() for k, x in enumerate(pools)] == many.tolist()
+        monkeypatch.undo()
+    p = graph.GraphParams(max_degree=2)
+    line = np.array([[0.0], [1.0], [2.0], [-1.0]])  # 1 stands before 2
+    assert graph.prune(graph.between(line, "l2"), np.array([0]), np.zeros(4, int), np.arange(4), p).tolist() == [[1, 3]]
+
+
+def test_each_shard_is_built_in_a_task_of_its_own(spark):
+    """Dealt by a hash of the shard, one task would build several after each other while others have none."""
+    df = frame(spark, list(enumerate(np.random.default_rng(3).random((300, 4)).tolist())))
+    g = graph.build_graph(df, graph.GraphParams(max_degree=4, build_complexity=8), id_col="id", shards=7)
+    assert g.groupBy(F.spark_partition_id().alias("task")).count().where("count = 1").count() == 7
+
+
+def test_hits_of_many_queries_are_those_of_each(spark, monkeypatch):
+    """Exact distances are taken for many queries' hits together, in the order of the folds."""
+    rng = np.random.default_rng(5)
+    v, q = rng.normal(size=(90, 5)), rng.normal(size=(4, 5))
+    which, at = np.repeat(np.arange(4), 90), np.tile(np.arange(90), 4)
+    for metric in ("l2", "ip", "cosine"):
+        assert knn.pair_values(metric, q, which, v, at).tolist() == knn.matrix_distances(metric, q, v).ravel().tolist()
+        p = graph.GraphParams(max_degree=8, build_complexity=16, metric=metric)
+        g = graph.build_graph(frame(spark, list(enumerate(v.tolist()))), p, id_col="id", shards=2).cache()
+        rows = lambda df: sorted(tuple(r) for r in df.collect())
+        many = rows(graph.graph_search(g, [(7 * k, x.tolist()) for k, x in enumerate(q)], 3, search_complexity=90, params=p))
+        assert len(many) == 12 and many == sorted(r for k, x in enumerate(q) for r in rows(graph.graph_search(g, [(7 * k, x.tolist())], 3, search_complexity=90, params=p)))
+        g.unpersist()
+
+
 def test_hybrid(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue"), (4, None)], "doc_id long, text string")
     assert [(r.id, r.rank) for r in hybrid.bm25_top(docs, "Red!", 9).orderBy("rank").collect()] == [(2, 1), (1, 2)]
