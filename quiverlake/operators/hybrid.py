@@ -1,8 +1,8 @@
 """BM25 ranking, and its fusion with vector ranking by reciprocal ranks.
 
-Only the query's words are counted, inside the row, so ranking a corpus is two
-scans without a shuffle: one for document frequencies and the mean length, one
-for the scores under a partial top-k.
+Only the query's words are counted, inside the row, and the counts are kept:
+a corpus is read and taken apart once. Document frequencies, the mean length and
+the scores under a partial top-k come from the counts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Textbook parameters, and the constant of reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
+#: Hits whose documents are asked for by a list of ids.
+LISTED = 1000
 #: Runs of letters and digits of any script.
 TOKEN = r"([\p{L}\p{N}]+)"
 
@@ -35,11 +37,14 @@ def times(words: Column, term: str) -> Column:
 
 def bm25_top(docs: DataFrame, query: str, n: int, *, id_col: str = "doc_id", text_col: str | Column = "text") -> DataFrame:
     """(id, score, rank): the n documents of the best BM25 score among those that hold a word of the query, ties by id. Null texts are empty documents."""
+    from ..sources.scratch import written
+
     terms = query_terms(query)
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col) if isinstance(text_col, str) else text_col).alias("_t"))
     counted = rows.select("id", F.size("_t").alias("_len"), *[times(F.col("_t"), t).alias(f"_tf{k}") for k, t in enumerate(terms)])
     if not terms:
         return counted.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    counted = written(counted, "counts")  # else each filter and sum would take the texts apart anew
     stats = counted.agg(F.count(F.lit(1)), F.avg("_len"), *[F.sum((F.col(f"_tf{k}") > 0).cast("long")) for k in range(len(terms))]).first()
     total, mean = stats[0], stats[1] or 1.0
     score = F.lit(0.0)
@@ -68,6 +73,7 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame | None, query_vec: Sequenc
     """docs' columns with `_rrf_score`, `_bm25_rank`, `_vector_rank`: the k best of both rankings together, ties by id. A text without tokens leaves the vector ranking alone. near(id, rank): a vector ranking found elsewhere, as by an index."""
     from pyspark.sql import Window
 
+    from ..sources.scratch import written
     from .knn import search
 
     if near is None:
@@ -77,5 +83,7 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame | None, query_vec: Sequenc
     ranked = near.select("id", "rank")
     words = bm25_top(docs, query_text, bm25_candidates, id_col=id_col, text_col=text_col) if query_terms(query_text) else None
     best = fused(words, ranked, bm25_weight=bm25_weight, vector_weight=vector_weight).orderBy(F.col("_rrf_score").desc(), "id").limit(k)
-    hits = best.withColumnRenamed("id", "__id")
+    hits = written(best.withColumnRenamed("id", "__id"), "hits")
+    if k <= LISTED:  # as literals they go to the scans, also to those below docs' own joins
+        docs = docs.where(F.col(id_col).isin([r[0] for r in hits.select("__id").collect()]))
     return docs.join(F.broadcast(hits), F.col("__id") == docs[id_col]).drop("__id")

@@ -325,6 +325,23 @@ def test_hybrid(spark):
     assert hybrid.hybrid_search(docs, vecs, [0.0, 1.0], "").count() == 2
 
 
+def test_texts_are_taken_apart_once(spark):
+    """A ranking reads counts; no plan of it has the words' expression in it still, so no filter is pushed to the texts."""
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue")], "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(pdfs):
+        for pdf in pdfs:
+            seen.add(len(pdf))
+            yield pdf
+
+    top = hybrid.bm25_top(docs.mapInPandas(same, docs.schema), "red dog", 5)
+    assert [r.id for r in top.orderBy("rank").collect()] == [2, 1] and seen.value == 3
+    assert "regexp" not in top._jdf.queryExecution().optimizedPlan().toString()
+    many = hybrid.hybrid_search(docs, spark.createDataFrame([(3, [1.0])], "vec_id long, embedding array<float>"), [1.0], "red", k=5000)
+    assert sorted(r.doc_id for r in many.collect()) == [1, 2, 3]
+
+
 def test_sql_surface(spark):
     sqlfuncs.register(spark)
     assert spark.sql("SELECT array_distance(array(0D, 0D), array(3D, 4D)) AS d").first().d == 5
